@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from quillmill.llm.common import table
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmill.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmill.llm.fingerprint import edited_fingerprints
 
@@ -21,6 +27,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmill.llm.token_output import packed_sequences
+
+    return packed_sequences(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmill.llm.url_filter import filter_urls
 
