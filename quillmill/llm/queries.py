@@ -39,6 +39,12 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_sequences(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmill.llm.substrings import dedup
+
+    return dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmill.llm.url_filter import filter_urls
 
