@@ -21,6 +21,12 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmill.llm.passages import near_passages
+
+    return near_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmill.llm.jaccard import components
 
