@@ -2,8 +2,8 @@
 
 The 5-word shingles of a text (lower case, split at white space) are hashed once; the top 8 bits of a hash
 choose one of 256 bins, each keeps its least hash. An empty bin tries bins drawn by universal hashing until one is
-not empty (after 12 draws: the filled bin with the least hash of the pair). The low 4 bits of each bin
-are packed, 16 to a long. Two fingerprints that agree in m of 256 places have a likeness of
+not empty (after 12 draws: the filled bin with the least hash of the pair). 4 of the low 56 bits of each bin, by its number, so that
+bins with one value do not all show the same bits, are packed, 16 to a long. Two fingerprints that agree in m of 256 places have a likeness of
 (m / 256 - 1/16) / (1 - 1/16), at least 0: the share of agreement by chance is taken off.
 
 A text of fewer than 5 words is one shingle; one without words (null counts as empty) has the hash of the text
@@ -69,7 +69,11 @@ def packed(text: Column) -> Column:
     per = 64 // BITS
 
     def pack(d: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(_LONGS - 1)), lambda w: F.aggregate(F.slice(d, w * per + 1, per), F.lit(0).cast("bigint"), lambda acc, x: F.shiftleft(acc, BITS).bitwiseOR(x.bitwiseAND(F.lit((1 << BITS) - 1).cast("bigint")))))
+        def one(w: Column) -> Column:
+            bits = F.transform(F.slice(d, w * per + 1, per), lambda x, j: F.call_function("shiftrightunsigned", x, F.pmod(w * per + j, F.lit(14)) * BITS).bitwiseAND(F.lit((1 << BITS) - 1).cast("bigint")))
+            return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, x: F.shiftleft(acc, BITS).bitwiseOR(x))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(_LONGS - 1)), one)
 
     return let(_dense(_minima(F.sort_array(_shingle_hashes(text)))), pack)
 
