@@ -60,7 +60,7 @@ def text_buffer(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
-def pieces(arr: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def pieces(arr: pa.Array, max_bytes: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column that hold about max_bytes each (one row at least)."""
     _, off = text_buffer(arr)
     i, n = 0, len(off) - 1
