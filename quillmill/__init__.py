@@ -1,0 +1 @@
+"""A PySpark-native machine-learning engine on DataFrames."""

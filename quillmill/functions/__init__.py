@@ -1 +1 @@
-
+"""Distances, kernels, linear algebra and reductions."""

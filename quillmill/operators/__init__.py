@@ -1 +1 @@
-
+"""Estimators, transformers and metrics over DataFrames."""

@@ -9,8 +9,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.base import EPS, Estimator, check_counts, collect_matrix, finite_checks, map_rows, partition_sums
-from quillmill.errors import DimensionMismatch, InvalidInput, InvalidParameter
+from quillmill.base import Estimator, check_counts, collect_matrix, finite_checks, map_rows, partition_sums
+from quillmill.errors import InvalidInput, InvalidParameter
 from quillmill.functions.distance import Metric
 from quillmill.operators.neighbors import nearest, radius_join
 from quillmill.plans.components import connected_components
@@ -238,5 +238,3 @@ def estimate_bandwidth(df: DataFrame, features: Sequence[str], quantile: float =
     d, _ = nearest(x, x, k, Metric())
     return float(d[:, k - 1].mean())
 
-
-__all__ = ["DBSCAN", "EPS", "Clusterer", "DimensionMismatch", "KMeans", "MeanShift", "estimate_bandwidth"]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from quillmill.base import MAX_BROADCAST, Predictor, check_counts, collect_matrix, finite_checks, map_rows
+from quillmill.base import MAX_BROADCAST, Predictor, check_counts, finite_checks, map_rows
 from quillmill.errors import DimensionMismatch, InvalidInput, InvalidParameter
 from quillmill.functions.distance import Metric
 from quillmill.operators.preprocessing import label_mapping
@@ -161,5 +161,3 @@ class KNN(Predictor):
 
     predict_parallel = predict
 
-
-__all__ = ["KNN", "collect_matrix", "knn_join", "nearest", "radius_join"]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quillmill.base import EPS, Transformer, check_counts, finite_checks
-from quillmill.errors import Computation, DimensionMismatch, EmptyInput, InvalidInput, InvalidParameter, NotFitted
+from quillmill.errors import Computation, DimensionMismatch, EmptyInput, InvalidInput, InvalidParameter
 
 # ---------------------------------------------------------------- splits
 
@@ -377,6 +377,3 @@ class Normalizer(Transformer):
     def transform(self, df: DataFrame) -> DataFrame:
         self._check(df)
         return normalize(df, self.features, "row", self.order)
-
-
-__all__ = [n for n in globals() if not n.startswith("_") and n not in ("annotations", "Sequence", "Column", "DataFrame", "Window", "F", "NotFitted")]

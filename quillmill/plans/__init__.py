@@ -1 +1 @@
-
+"""Registered queries and shared plans."""
