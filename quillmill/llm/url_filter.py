@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmill.llm.common import materialize
+
 #: (rule, verdict); a rule is host + "/" + start of the path
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: labels of hosts that are blocked where no rule fits
@@ -67,7 +69,7 @@ class BloomCascade:
 
     @classmethod
     def build(cls, listed: DataFrame, universe: DataFrame, n_universe: int, max_bits: int = 1 << 27) -> BloomCascade:
-        """listed, universe: one column key. More listed keys than max_bits can hold are an error: split the list by a hash of the key."""
+        """listed, universe: one column key; the universe's keys may repeat. More listed keys than max_bits can hold are an error: split the list by a hash of the key."""
         listed = listed.distinct()
         n = listed.count()
         levels: list[Level] = []
@@ -79,7 +81,8 @@ class BloomCascade:
             if passed * math.log(1 / rate) / math.log(2) ** 2 > max_bits:
                 raise ValueError("the listed keys need more bits than max_bits")
             levels.append(_encode(inside, passed, rate, len(levels)))
-            through = outside.where(_passes(levels[-1], F.col("key"))).distinct()
+            # only what passes is made distinct and kept, so the universe is scanned once and never shuffled
+            through = materialize(outside.where(_passes(levels[-1], F.col("key"))).distinct(), "passed")
             inside, outside = through, inside
             passed, rate = through.count(), 0.5
         return cls(levels)
@@ -117,7 +120,7 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, bl
     lengths = sorted({len(r) - r.index("/") for r, _ in rules})
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     keyed = rows.select(url_keys(F.col("host"), F.col("path"), lengths).alias("ks"), F.transform(F.split("host", r"\."), lambda x: F.concat(F.lit("label:"), x)).alias("ls"))
-    universe = keyed.select(F.explode(F.concat("ks", "ls")).alias("key")).distinct()
+    universe = keyed.select(F.explode(F.concat("ks", "ls")).alias("key"))
     n_universe = universe.agg(F.approx_count_distinct("key")).first()[0]
     of = lambda keys: spark.createDataFrame([(k,) for k in keys], "key string")
     block = BloomCascade.build(of([r for r, v in rules if v == "block"]), universe, n_universe)
