@@ -34,8 +34,8 @@ def _undelta16(blob: bytes) -> np.ndarray:
     return np.cumsum(step, dtype=np.uint32)[step != 65535]
 
 
-def key_statistics(docs: DataFrame, hashes: Callable[[pa.Array], Iterator[np.ndarray]], frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, int]:
-    """hashes: 64-bit keys of a column of texts, whose upper half is counted. Gives (sorted frequent 32-bit keys, bitmap of keys that occur more than once, its number of bits as a power of 2)."""
+def key_statistics(docs: DataFrame, hashes: Callable[[pa.Array], Iterator[np.ndarray]], frequent: int = FREQUENT, bits_per_key: int = 16) -> tuple[np.ndarray, np.ndarray, int]:
+    """hashes: 64-bit keys of a column of texts, whose upper half is counted. Gives (sorted frequent 32-bit keys, bitmap of keys that occur more than once, its number of bits as a power of 2: bits_per_key or more for each such key, 2 ** 30 at most)."""
     rows = "range int, keys binary"
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +64,7 @@ def key_statistics(docs: DataFrame, hashes: Callable[[pa.Array], Iterator[np.nda
 
     merged = materialize(docs.select("text").mapInArrow(send, rows).groupBy("range").applyInArrow(merge, "range int, n long, repeated binary, often binary, times binary"), "keys")
     total = merged.agg(F.sum("n")).first()[0] or 0
-    bits = min(30, max(16, int(16 * total).bit_length()))
+    bits = min(30, max(16, int(bits_per_key * total).bit_length()))
 
     def slices(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:

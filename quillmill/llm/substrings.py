@@ -7,7 +7,7 @@ those of its parts (prefix sums), and Spark sorts names to find those that are n
    gram form an interval, about one per (length - GRAM) / 2 bytes. Intervals whose gram occurs once in the corpus hold no repeat.
 2. names of whole intervals (all their windows' bytes) are sorted; those that occur again are repeats, window by window.
 3. what is left, intervals whose gram repeats while their whole does not (the ends of shared passages), and one interval of each repeated whole
-   with such a gram, have the names of all their windows sorted.
+   with such a gram, have the names of all their windows counted, and those that repeat sorted.
 
 Unique positions leave after each step, past `length` the ranking stops. Copies within a task meet there, so a string sends two
 rows a task at most, however often it occurs.
@@ -60,6 +60,17 @@ def _spread(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return ((x.view(np.uint64) ^ y.astype(np.uint64)) * _GOLD).view(np.int64)
 
 
+def _merged(rid: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbouring spans of a row as one, of at most 65535 windows: rid and packed span."""
+    if not len(rid):
+        return rid, start
+    total = np.cumsum(n)
+    new = np.ones(len(rid), bool)
+    new[1:] = (rid[1:] != rid[:-1]) | (start[1:] != start[:-1] + n[:-1]) | (total[1:] // 32_768 != total[:-1] // 32_768)
+    first = np.flatnonzero(new)
+    return rid[first], start[first] << 16 | np.add.reduceat(n, first)
+
+
 def _local(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which occur more than once here, and which are to be sent: the first two of each."""
     order = np.argsort(names, kind="stable")
@@ -101,7 +112,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         for _, buf, off, _ in steps(texts, length):
             yield intervals(buf, off, length, gram)[4]
 
-    _, bitmap, bits = key_statistics(docs, grams, 1 << 62)
+    _, bitmap, bits = key_statistics(docs, grams, 1 << 62, 64)
 
     def wholes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -117,8 +128,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                     to.append(v)
             whole, g, r, span = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols)
             again, send = _local(whole)
-            key = np.where(send, whole, _spread(r, span))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, g, r, span, np.where(send, again.astype(np.int8), np.int8(2)))], names=["key", "gram", "rid", "span", "kind"])
+            kr, ks = _merged(r[~send], span[~send] >> 16, span[~send] & 0xFFFF)
+            cols = [np.concatenate(v) for v in ((whole[send], _spread(kr, ks)), (g[send] >> 32, np.zeros_like(kr)), (r[send], kr), (span[send], ks), (again[send].astype(np.int8), np.full(len(kr), 2, np.int8)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int8()), strict=True)], names=["key", "gram", "rid", "span", "kind"])
 
     def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """kind 0: found once in its task, 1: more often, 2: no question, already known. state 1: repeated, 2: open, 3: repeated, one for its name."""
@@ -133,8 +145,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             state[first[count > 1]] = 3
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (r, span, g, state)], names=["rid", "span", "gram", "state"])
 
-    sent = rows.mapInArrow(wholes, "key long, gram long, rid long, span long, kind byte").repartition("key").sortWithinPartitions("key")
-    spans = materialize(sent.mapInArrow(judge, "rid long, span long, gram long, state byte"), "spans")
+    sent = rows.mapInArrow(wholes, "key long, gram int, rid long, span long, kind byte").repartition("key").sortWithinPartitions("key")
+    spans = materialize(sent.mapInArrow(judge, "rid long, span long, gram int, state byte"), "spans")
     opened = spans.where("state = 2")
     open_grams = materialize(opened.select("gram").distinct(), "grams")
     asked = opened.select("rid", "span", F.lit(True).alias("want")).union(spans.where("state = 3").join(open_grams, "gram", "left_semi").select("rid", "span", F.lit(False).alias("want")))
@@ -147,46 +159,61 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             k = pa.array(np.flatnonzero(flagged(some, some_bits, rid)))
             yield pa.RecordBatch.from_arrays([pa.array(rid).take(k), column(b, "text").take(k)], names=["rid", "text"])
 
-    def windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def name_windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The names of all windows that are asked for, a row for each row of documents."""
         for b in it:
-            cols: list[list[np.ndarray]] = [[] for _ in range(4)]
             buf, off = text_buffer(column(b, "text"))
             asks = column(b, "asks")
             inner, cut = asks.flatten(), np.concatenate([[0], np.cumsum(asks.value_lengths().to_numpy(zero_copy_only=False))])
             span, want = inner.field("span").to_numpy(), inner.field("want").to_numpy(zero_copy_only=False)
-            for r, rid in enumerate(column(b, "rid").to_pylist()):
-                sp, wa = span[cut[r] : cut[r + 1]], want[cut[r] : cut[r + 1]]
-                sp, first = np.unique(sp, return_index=True)
-                wa = wa[first]
+            out: list[list] = [[] for _ in range(3)]
+            for r in range(b.num_rows):
+                sp, first = np.unique(span[cut[r] : cut[r + 1]], return_index=True)
+                wa = want[cut[r] : cut[r + 1]][first]
                 start, n = sp >> 16, sp & 0xFFFF
                 size = n + length - 1
                 to = np.concatenate([[0], np.cumsum(size)])
                 part = np.concatenate([buf[off[r] + s : off[r] + s + z] for s, z in zip(start.tolist(), size.tolist(), strict=True)])
-                pos = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                names = Names(part).fixed(length)[np.repeat(to[:-1], n) + pos]
-                for c, v in zip(cols, (names.view(np.int64), np.full(len(names), rid, np.int64), np.repeat(start, n) + pos, np.repeat(wa, n)), strict=True):
+                at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                for c, v in zip(out, (sp.astype("<i8").tobytes(), np.packbits(wa).tobytes(), Names(part).fixed(length)[np.repeat(to[:-1], n) + at].astype("<u8").tobytes()), strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([column(b, "rid"), *(pa.array(c, pa.binary()) for c in out)], names=["rid", "spans", "want", "names"])
+
+    joined = rows.mapInArrow(texts_of, "rid long, text string").join(asked, "rid")
+    named = materialize(joined.mapInArrow(name_windows, "rid long, spans binary, want binary, names binary"), "names")
+    _, again_map, again_bits = key_statistics(named.select(F.col("names").alias("text")), lambda col: (np.frombuffer(x.as_buffer(), "<u8") for x in col), 1 << 62, 32)
+
+    def windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each window whose name repeats."""
+        for b in it:
+            cols: list[list[np.ndarray]] = [[] for _ in range(4)]
+            for rid, sp, wa, names in zip(*(column(b, c).to_pylist() for c in ("rid", "spans", "want", "names")), strict=True):
+                sp, name = np.frombuffer(sp, "<i8"), np.frombuffer(names, "<u8")
+                start, n = sp >> 16, sp & 0xFFFF
+                wa = np.unpackbits(np.frombuffer(wa, np.uint8), count=len(sp)).astype(bool)
+                k = flagged(again_map, again_bits, name)
+                pos = (np.repeat(start, n) + np.arange(len(name)) - np.repeat(np.cumsum(n) - n, n))[k]
+                for c, v in zip(cols, (name[k], np.full(len(pos), rid, np.int64), pos, np.repeat(wa, n)[k]), strict=True):
                     c.append(v)
             if not cols[0]:
                 continue
             name, rid, pos, want = (np.concatenate(c) for c in cols)
             again, send = _local(name)
             known = ~send & want
-            keep = send | known
-            kind = np.where(known, 2, np.where(want, 1, 0)).astype(np.int8)
-            key = np.where(send, name, _spread(rid, pos))
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, rid, pos, kind)], names=["key", "rid", "pos", "kind"])
+            kr, ks = _merged(rid[known], pos[known], np.ones(int(known.sum()), np.int64))
+            out = [np.concatenate(v) for v in ((name[send].view(np.int64), _spread(kr, ks)), (rid[send], kr), (pos[send] << 16 | 1, ks), (want[send].astype(np.int8), np.full(len(kr), 2, np.int8)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["key", "rid", "span", "kind"])
 
     def repeats(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """kind 0: only a counterpart, 1: asked, 2: known."""
-        for key, r, pos, kind in _runs(it, ["key", "rid", "pos", "kind"]):
+        for key, r, span, kind in _runs(it, ["key", "rid", "span", "kind"]):
             asked = np.flatnonzero(kind < 2)
             _, inverse, count = np.unique(key[asked], return_inverse=True, return_counts=True)
             yes = kind == 2
             yes[asked] = (count[inverse] > 1) & (kind[asked] == 1)
-            yield pa.RecordBatch.from_arrays([pa.array(r[yes]), pa.array(pos[yes]), pa.array(np.ones(int(yes.sum()), np.int64))], names=["rid", "start", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(r[yes]), pa.array(span[yes] >> 16), pa.array(span[yes] & 0xFFFF)], names=["rid", "start", "n"])
 
-    joined = rows.mapInArrow(texts_of, "rid long, text string").join(asked, "rid")
-    single = joined.mapInArrow(windows, "key long, rid long, pos long, kind byte").repartition("key").sortWithinPartitions("key").mapInArrow(repeats, "rid long, start long, n long")
+    single = named.mapInArrow(windows, "key long, rid long, span long, kind byte").repartition("key").sortWithinPartitions("key").mapInArrow(repeats, "rid long, start long, n long")
     return spans.where("state != 2").select("rid", F.shiftright("span", 16).alias("start"), F.expr("span & 65535").alias("n")).union(single)
 
 
