@@ -177,3 +177,46 @@ def test_hamming_blocks_lose_nothing_within_the_radius():
     at, which = c.candidates(fp, 11)
     want = {(i, j) for i in range(400) for j in range(3) if (int(fp[i]) ^ c.fingerprints[j]).bit_count() <= 11}
     assert set(zip(at.tolist(), which.tolist())) == want
+
+
+def brute_near_stretch(x, y, least, similarity):
+    """Whether any stretches of `least` words or more on both sides have that Jaccard similarity of 5-word shingles."""
+    sx, sy = ([tuple(v[i : i + 5]) for i in range(len(v) - 4)] for v in (x, y))
+    n = least - 4
+    for a in range(len(sx) - n + 1):
+        for b in range(a + n, len(sx) + 1):
+            one = set(sx[a:b])
+            for c in range(max(0, a - 2), min(len(sy) - n, a + 2) + 1):  # about one shift
+                for d in range(max(c + n, b - 2), min(len(sy), b + 2) + 1):
+                    two = set(sy[c:d])
+                    both = len(one & two)
+                    if both >= similarity * (len(one) + len(two) - both):
+                        return True
+    return False
+
+
+def test_passages_with_one_changed_word_are_those_of_brute_force():
+    rng = np.random.default_rng(8)
+    for n in (50, 55, 60, 79, 90):
+        base = rng.integers(1, 1 << 32, n)
+        for at in range(n):
+            x = base.copy()
+            x[at] = 7
+            x_doc, y_doc = (np.concatenate([rng.integers(1, 1 << 32, 20), v, rng.integers(1, 1 << 32, 20)]) for v in (x, base))
+            shared = n - 4 - len(range(max(0, at - 4), min(n - 4, at + 1)))
+            got = passages.matching_segments(x_doc, y_doc, 50, 0.8)
+            if shared / (2 * (n - 4) - shared) >= 0.8:
+                assert got, (n, at)
+            assert all(like >= 0.8 and words >= 50 and j - i == words for i, j, words, like in got)
+            if n == 55 and at % 9 == 0:
+                assert bool(got) == brute_near_stretch(x_doc.tolist(), y_doc.tolist(), 50, 0.8), at
+
+
+def test_passages_with_an_insertion_are_one_stretch():
+    rng = np.random.default_rng(9)
+    x = rng.integers(1, 1 << 32, 120)
+    y = np.concatenate([x[:60], rng.integers(1, 1 << 32, 12), x[60:]])
+    assert [g[:2] for g in passages.matching_segments(x, y, 50, 0.8)] == [(0, 120)]
+    assert [g[:2] for g in passages.matching_segments(y, x, 50, 0.8)] == [(0, 132)]
+    twice = np.concatenate([x, rng.integers(1, 1 << 32, 30), x])  # in y once
+    assert sorted(g[:2] for g in passages.matching_segments(twice, x, 50, 0.8)) == [(0, 120), (150, 270)]
