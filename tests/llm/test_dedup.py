@@ -220,3 +220,22 @@ def test_passages_with_an_insertion_are_one_stretch():
     assert [g[:2] for g in passages.matching_segments(y, x, 50, 0.8)] == [(0, 132)]
     twice = np.concatenate([x, rng.integers(1, 1 << 32, 30), x])  # in y once
     assert sorted(g[:2] for g in passages.matching_segments(twice, x, 50, 0.8)) == [(0, 120), (150, 270)]
+
+
+def drawn(rng, n):
+    return " ".join("".join(map(chr, rng.integers(97, 123, 7))) for _ in range(n))
+
+
+def test_passages_of_two_documents_beyond_a_frequent_line(spark):
+    rng = np.random.default_rng(10)
+    texts, want = [], {}
+    for _ in range(10):
+        line, own = drawn(rng, 49), drawn(rng, 3)
+        texts += [f"{drawn(rng, 15)} {line} {drawn(rng, 15)}" for _ in range(6)]
+        for _ in range(2):
+            lead = drawn(rng, 15)
+            texts.append(f"{lead} {line} {own} {drawn(rng, 15)}")
+        want[len(texts) - 1] = (len(lead) + 1, len(lead) + 1 + len(line) + 1 + len(own))
+    got = passages.near_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    for doc, span in want.items():
+        assert [r for r in got if r["doc_id"] == doc and r["source_doc_id"] == doc - 1 and r["start"] <= span[0] and r["end"] >= span[1]], doc
