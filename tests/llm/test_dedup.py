@@ -239,3 +239,14 @@ def test_passages_of_two_documents_beyond_a_frequent_line(spark):
     got = passages.near_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
     for doc, span in want.items():
         assert [r for r in got if r["doc_id"] == doc and r["source_doc_id"] == doc - 1 and r["start"] <= span[0] and r["end"] >= span[1]], doc
+
+
+def test_passages_that_stand_twice_in_a_later_document(spark):
+    rng = np.random.default_rng(11)
+    texts, want = [], []
+    for _ in range(8):
+        p, a, b = drawn(rng, 60), drawn(rng, 20), drawn(rng, 30)
+        texts += [f"{drawn(rng, 20)} {p} {drawn(rng, 20)}", f"{a} {p} {b} {p} {drawn(rng, 20)}"]
+        want += [(len(texts) - 1, len(a) + 1, len(a) + 1 + len(p)), (len(texts) - 1, len(a) + len(p) + len(b) + 3, len(a) + 2 * len(p) + len(b) + 3)]
+    got = passages.near_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert set(want) <= {(r["doc_id"], r["start"], r["end"]) for r in got}
