@@ -4,7 +4,8 @@ Words are runs of letters and digits, lower case. Items of like length share a w
 CLASS_RATIO); an item's fingerprint is the 64-bit SimHash of the word pairs in its middle window. Every window of that size of
 every document is fingerprinted (sums of bits over the window come from running sums) and looked up in four
 16-bit blocks: a distance of at most RADIUS leaves one block with at most RADIUS // 4 bits changed, and all such values are
-in the block's table, so no fingerprint within the radius is lost. Candidates are verified exactly: the Jaccard similarity, weighted
+in the block's table, so no fingerprint within the radius is lost. As edits may put a window beyond the radius, all shingles of the items
+are looked up too: a row that has 0.8 of an item's weight, as every match must, is a candidate where they stand. Candidates are verified exactly: the Jaccard similarity, weighted
 by how rare a shingle is among the items, of the item's 5-word shingles (with multiplicity) and those of the
 item-sized window, best over small shifts, must be 0.8 or more.
 
@@ -135,6 +136,40 @@ class Benchmark:
             c.fingerprints.append(int(simhash(bit_sums(g), np.array([0]), len(g))[0]))
         for c in self.classes:
             c.index(radius)
+        have = [i for i in range(n) if self.sizes[i] >= WORDS]  # a shorter item has to be there as it is, at distance 0
+        sh = [shingles(mine[i], WORDS) for i in have]
+        every = np.concatenate(sh) if sh else np.zeros(0, np.uint64)
+        self.keys, kind = np.unique(every, return_inverse=True)
+        order = np.argsort(kind, kind="stable")
+        self.post_item = np.repeat(np.array(have, np.int64), [len(x) for x in sh])[order]
+        self.post_place = np.concatenate([np.arange(len(x)) for x in sh])[order] if sh else np.zeros(0, np.int64)
+        self.post = np.concatenate([[0], np.cumsum(np.bincount(kind, minlength=len(self.keys)))])
+        self.known = np.zeros(1 << 20, bool)
+        self.known[self.keys >> np.uint64(44)] = True
+
+    def sharing(self, h: np.ndarray, row: np.ndarray) -> dict[tuple[int, int], list[int]]:
+        """(row, item): where the item would start, by each shingle they share, if those are SIMILARITY of its weight."""
+        sh = shingles(h, WORDS)
+        at = np.flatnonzero(self.known[sh >> np.uint64(44)])
+        which = np.searchsorted(self.keys, sh[at])
+        r = np.searchsorted(row, at, "right") - 1
+        ok = (which < len(self.keys)) & (at + WORDS <= row[r + 1])
+        ok[ok] = self.keys[which[ok]] == sh[at[ok]]
+        at, which, r = at[ok], which[ok], r[ok]
+        n = self.post[which + 1] - self.post[which]
+        at, r, key = np.repeat(at, n), np.repeat(r, n), np.repeat(which, n)
+        entry = np.repeat(self.post[which], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        item, start = self.post_item[entry], at - self.post_place[entry]
+        order = np.lexsort((start, item, r))
+        r, item, start, key = (v[order] for v in (r, item, start, key))
+        cut = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (item[1:] != item[:-1])])) if len(r) else np.zeros(0, np.int64)
+        out = {}
+        for a, z in zip(cut.tolist(), np.append(cut[1:], len(r)).tolist()):
+            i = int(item[a])
+            shared = sum(self.weight[s] * self.counts[i][s] for s in self.keys[np.unique(key[a:z])].tolist())
+            if shared >= SIMILARITY * self.mass[i] * (1 - 1e-9):
+                out[int(r[a]), i] = np.unique(start[a:z]).tolist()
+        return out
 
     def similarity(self, item: int, window: np.ndarray) -> float:
         """Weighted Jaccard similarity of an item and a window's word hashes."""
@@ -151,6 +186,7 @@ class Benchmark:
             return best
         sums = bit_sums(pairs_of(h))
         starts, ends = row[:-1], row[1:]
+        starts_at: dict[tuple[int, int], set[int]] = defaultdict(set)
         for c in self.classes:
             n = c.size - 1  # word pairs in a window
             tried: dict[tuple[int, int], list[int]] = defaultdict(list)
@@ -167,21 +203,25 @@ class Benchmark:
                 for k in which.tolist():
                     tried[x, k].append(int(starts[x]))
             for (x, k), places in tried.items():
-                item, lo, hi = c.items[k], int(starts[x]), int(ends[x])
-                top = best.get((x, item), (0.0, 0, 0))
-                seen: set[tuple[int, int]] = set()
-                for p in places:
-                    for shift in (0, -1, 1, -2, 2):
-                        a = max(lo, p - c.skips[k] + shift)
-                        z = min(hi, max(a, p - c.skips[k] + shift) + self.sizes[item])
-                        if (a, z) in seen or z <= a:
-                            continue
-                        seen.add((a, z))
-                        like = self.similarity(item, h[a:z])
-                        if like > top[0]:
-                            top = (like, a, z)
-                if top[0] >= SIMILARITY:
-                    best[x, item] = top
+                starts_at[x, c.items[k]].update(p - c.skips[k] for p in places)
+        for (x, item), places in self.sharing(h, row).items():
+            starts_at[x, item].update(places)
+        for (x, item), places in starts_at.items():
+            lo, hi = int(starts[x]), int(ends[x])
+            top = (0.0, 0, 0)
+            seen: set[tuple[int, int]] = set()
+            for p in sorted(places):
+                for shift in (0, -1, 1, -2, 2):
+                    a = max(lo, p + shift)
+                    z = min(hi, a + self.sizes[item])
+                    if (a, z) in seen or z <= a:
+                        continue
+                    seen.add((a, z))
+                    like = self.similarity(item, h[a:z])
+                    if like > top[0]:
+                        top = (like, a, z)
+            if top[0] >= SIMILARITY:
+                best[x, item] = top
         return best
 
 

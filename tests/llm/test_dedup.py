@@ -250,3 +250,20 @@ def test_passages_that_stand_twice_in_a_later_document(spark):
         want += [(len(texts) - 1, len(a) + 1, len(a) + 1 + len(p)), (len(texts) - 1, len(a) + len(p) + len(b) + 3, len(a) + 2 * len(p) + len(b) + 3)]
     got = passages.near_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
     assert set(want) <= {(r["doc_id"], r["start"], r["end"]) for r in got}
+
+
+def test_benchmark_items_with_a_replaced_block_are_all_found():
+    rng = np.random.default_rng(12)
+    for size, least, block in ((200, 135, 17), (300, 201, 28), (100, 68, 6)):
+        items = [drawn(rng, least)] + [drawn(rng, size) for _ in range(30)]
+        bench = decontam.Benchmark(list(range(31)), items, decontam.RADIUS)
+        for i in range(1, 31):
+            w = items[i].split()
+            at = (size - block) // 2
+            w[at : at + block] = drawn(rng, block).split()
+            text = f"{drawn(rng, 20)} {' '.join(w)} {drawn(rng, 20)}"
+            buf, off = decontam.text_buffer(decontam.pa.array([text]))
+            h, _, _, row = decontam.words(buf, off, loose=True)
+            got = bench.matches(h, row)
+            want = max(bench.similarity(i, h[p : p + size]) for p in range(len(h) - size + 1))
+            assert ((0, i) in got) == (want >= 0.8) and ((0, i) not in got or got[0, i][0] >= want - 1e-12)
