@@ -347,6 +347,13 @@ def rbf_kernel(spark, d):
     return k.select(F.col("s_suppkey").alias("a"), F.posexplode("k").alias("i", "k")).select("a", F.get(F.lit([int(r["s_suppkey"]) for r in few]), F.col("i")).cast("long").alias("b"), _r("k", 9).alias("k"))
 
 
+@query("with s as (select s_suppkey, s_acctbal / 1000 x, (s_suppkey % 7)::double y from supplier) select a.s_suppkey as a, b.s_suppkey as b, round(exp(-0.1 * (pow(a.x - b.x, 2) + pow(a.y - b.y, 2))), 9) as k from s a, s b")
+def rbf_kernel_matrix(spark, d):
+    """The kernel of all suppliers with all; rbf_kernel is that of the first 20."""
+    s = read_table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("x"), F.pmod("s_suppkey", F.lit(7)).cast("double").alias("y"))
+    return Kernel("rbf", 0.1).between(s, "s_suppkey", ["x", "y"]).select("a", "b", _r("k", 9).alias("k"))
+
+
 @query("select l_orderkey, l_linenumber, round(q, 6) as poly0, round(t, 6) as poly1, round(q * q, 6) as poly2, round(q * t, 6) as poly3, round(t * t, 6) as poly4 from (select l_orderkey, l_linenumber, l_quantity q, l_tax t from lineitem)")
 def polynomial_features(spark, d):
     from quillmill.operators.linear import generate_polynomial_features

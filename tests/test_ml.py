@@ -272,3 +272,13 @@ def test_network_on_a_frame(spark, tmp_path):
     assert out == pytest.approx(b.predict(x), rel=1e-4)
     b.save(spark, str(tmp_path / "w"))
     assert make().load(spark, str(tmp_path / "w")).predict(x) == pytest.approx(b.predict(x))
+
+
+def test_kernel_between_all_rows_in_blocks(spark):
+    from quillmill.functions.kernels import Kernel
+
+    x = np.random.default_rng(3).normal(size=(53, 2))
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id long, x double, y double")
+    got = {(r["a"], r["b"]): r["k"] for r in Kernel("rbf", 0.1).between(df, "id", ["x", "y"], block_rows=10).collect()}
+    want = np.exp(-0.1 * ((x[:, None] - x[None]) ** 2).sum(-1))
+    assert len(got) == 53 * 53 and all(abs(got[i, j] - want[i, j]) < 1e-12 for i in range(53) for j in range(53))
