@@ -7,8 +7,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructType
 
 from quillmill.errors import EmptyInput, InvalidInput, InvalidParameter, ModelIoError, ModelStructureMismatch, NeuralNetworkError, UnsupportedModelFormat
@@ -114,48 +115,74 @@ class Sequential:
 
     # ------------------------------------------------------------ DataFrames
 
-    def fit_frame(self, df: DataFrame, x: str, y: str, epochs: int, x_shape: tuple[int, ...], y_shape: tuple[int, ...] = (1,)) -> History:
-        """Full-batch training: tasks send sums of gradients (weighted by rows), the driver updates; equal to fit() up to rounding.
+    def fit_frame(self, df: DataFrame, x: str, y: str, epochs: int, x_shape: tuple[int, ...], y_shape: tuple[int, ...] = (1,), batch_size: int | None = None) -> History:
+        """Training on rows that stay in their tasks: tasks send sums of gradients (weighted by rows), the driver updates.
+
+        Without batch_size an epoch is one update from all rows, equal to fit() up to rounding. With it, rows are dealt to ceil(rows / batch_size) batches
+        by a hash of their values (equal rows go together, so sizes vary about batch_size), whose order is drawn anew each epoch; each batch is
+        an update and a Spark job, and as the rows are held in the order of their batches, it reads no more than its own. Random masks and noise are
+        drawn anew for each update, task and piece of 1024 rows, from the layers' random_state.
 
         Batch normalisation needs the whole batch at once, so a network with it is trained on arrays.
         """
         self._ready()
         if any(isinstance(v, BatchNormalization) for v in self.layers):
             raise InvalidInput("batch normalisation needs the whole batch: use fit")
-        held, out = df.select(x, y).persist(StorageLevel.DISK_ONLY), History()
+        if batch_size is not None and batch_size < 1:
+            raise InvalidParameter("batch_size must be 1 or more")
+        rows, n_batches = df.select(x, y), 1
+        if batch_size is not None:
+            n_batches = max(1, -(-rows.count() // batch_size))
+        if n_batches > 1:
+            rows = rows.withColumn("_batch", F.pmod(F.xxhash64(F.col(x), F.col(y)), F.lit(n_batches)))
+            rows = rows.repartitionByRange("_batch").sortWithinPartitions("_batch")
+        held, out, rng = rows.persist(StorageLevel.DISK_ONLY), History(), make_rng(self.seed)
         keys = [(i, k, v.shape) for i, layer in enumerate(self.layers) for k, v in layer.params.items()]
         size = sum(int(np.prod(s)) for _, _, s in keys) + 2
 
-        def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(size)
-            for b in it:
-                for i in range(0, b.num_rows, 1024):
-                    piece = b.slice(i, 1024)
-                    value, n = self._gradients(array_column(piece, x, x_shape), array_column(piece, y, y_shape)), piece.num_rows
-                    total += n * np.concatenate([*(self.layers[j].grads[k].ravel() for j, k, _ in keys), [value, 1.0]])
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
-
-        def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = sum((np.frombuffer(v, float) for b in it for v in b.column(0).to_pylist()), np.zeros(size))
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+        def sums(batch: DataFrame) -> np.ndarray:
+            """Sums over the rows of all gradients, of the loss and of 1."""
+            seeds = {i: int(layer.rng.integers(1 << 62)) for i, layer in enumerate(self.layers) if hasattr(layer, "rng")}
+
+            def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for i, seed in seeds.items():
+                    self.layers[i].rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+                total = np.zeros(size)
+                for b in it:
+                    for i in range(0, b.num_rows, 1024):
+                        piece = b.slice(i, 1024)
+                        value, n = self._gradients(array_column(piece, x, x_shape), array_column(piece, y, y_shape)), piece.num_rows
+                        total += n * np.concatenate([*(self.layers[j].grads[k].ravel() for j, k, _ in keys), [value, 1.0]])
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+            def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total = sum((np.frombuffer(v, float) for b in it for v in b.column(0).to_pylist()), np.zeros(size))
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+            for layer in self.layers:
+                layer._kept = None
+            parts = batch.select(x, y).mapInArrow(part, "v binary").repartition(16).mapInArrow(add, "v binary").collect()
+            return sum((np.frombuffer(bytes(r["v"]), float) for r in parts), np.zeros(size))
 
         try:
             for _ in range(epochs):
-                for layer in self.layers:
-                    layer._kept = None
-                sums = held.mapInArrow(part, "v binary").repartition(16).mapInArrow(add, "v binary").collect()
-                total = sum((np.frombuffer(bytes(r["v"]), float) for r in sums), np.zeros(size))
-                if not total[-1]:
+                seen = np.zeros(2)
+                for k in rng.permutation(n_batches).tolist():
+                    total = sums(held if n_batches == 1 else held.where(F.col("_batch") == k))
+                    if not total[-1]:
+                        continue  # no row's hash fell into the batch
+                    seen += total[-2:]
+                    flat, at = total[:-2] / total[-1], 0
+                    for layer in self.layers:
+                        layer.grads = {}
+                    for j, name, s in keys:
+                        n = int(np.prod(s))
+                        self.layers[j].grads[name] = flat[at : at + n].reshape(s).astype(F32)
+                        at += n
+                    self.optimizer.apply(self.layers)
+                if not seen[-1]:
                     raise EmptyInput("no rows")
-                flat, at = total[:-2] / total[-1], 0
-                for layer in self.layers:
-                    layer.grads = {}
-                for j, k, s in keys:
-                    n = int(np.prod(s))
-                    self.layers[j].grads[k] = flat[at : at + n].reshape(s).astype(F32)
-                    at += n
-                self.optimizer.apply(self.layers)
-                out.loss.append(float(total[-2] / total[-1]))
+                out.loss.append(float(seen[0] / seen[1]))
         finally:
             held.unpersist()
         return out

@@ -282,3 +282,26 @@ def test_kernel_between_all_rows_in_blocks(spark):
     got = {(r["a"], r["b"]): r["k"] for r in Kernel("rbf", 0.1).between(df, "id", ["x", "y"], block_rows=10).collect()}
     want = np.exp(-0.1 * ((x[:, None] - x[None]) ** 2).sum(-1))
     assert len(got) == 53 * 53 and all(abs(got[i, j] - want[i, j]) < 1e-12 for i in range(53) for j in range(53))
+
+
+def test_frame_training_draws_new_masks_and_learns_in_batches(spark):
+    from quillmill import nn
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 3)).astype(np.float32)
+    y = (x @ np.array([1.0, -2.0, 0.5], np.float32)).reshape(-1, 1)
+    df = spark.createDataFrame([(v.tolist(), w.tolist(), "b") for v, w in zip(x, y)], "x array<float>, y array<float>, _batch string").repartition(3)
+
+    def network(rate, seed=1):
+        return nn.Sequential(seed=3).add(nn.Dense(3, 8, random_state=seed)).add(nn.Dropout(rate, random_state=2)).add(nn.Dense(8, 1, random_state=5))
+
+    still = [network(0.5).compile(nn.SGD(1e-12), nn.MeanSquaredError()).fit_frame(df, "x", "y", 4, (3,)).loss for _ in range(2)]
+    assert len({round(v, 6) for v in still[0]}) == 4  # a mask of its own each epoch
+    plain = network(0.0).compile(nn.SGD(1e-12), nn.MeanSquaredError()).fit(x, y, 1).loss[0]
+    assert np.mean(still[0]) > plain * 0.8
+    m = network(0.0).compile(nn.Adam(0.02), nn.MeanSquaredError())
+    loss = m.fit_frame(df, "x", "y", 4, (3,), batch_size=64).loss
+    assert len(loss) == 4 and loss[-1] < 0.2 * loss[0]
+    assert m.evaluate(x, y) < loss[0] * 0.2
+    with pytest.raises(InvalidParameter):
+        m.fit_frame(df, "x", "y", 1, (3,), batch_size=0)
