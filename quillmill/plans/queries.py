@@ -241,7 +241,11 @@ def fowlkes_mallows_score(spark, d):
     return M.fowlkes_mallows_score(_orders(spark, d), "a", "b").select(_r("fowlkes_mallows", 9).alias("fowlkes_mallows"))
 
 
-@query()
+@query(
+    _ORD + ", r as (select distinct a, ra from m), q as (select distinct b, cb from m), k as (select ra, cb, t, unnest(range(greatest(1, ra + cb - t)::bigint, least(ra, cb)::bigint + 1)) k from r, q, g), "
+    "e as (select sum(k / t * ln(t * k / (ra * cb)) * exp(lgamma(ra + 1) + lgamma(cb + 1) + lgamma(t - ra + 1) + lgamma(t - cb + 1) - lgamma(t + 1) - lgamma(k + 1) - lgamma(ra - k + 1) - lgamma(cb - k + 1) - lgamma(t - ra - cb + k + 1))) emi from k) "
+    "select round((mi - emi) / ((ha + hb) / 2 - emi), 9) as ami from g, e"
+)
 def adjusted_mutual_info(spark, d):
     return spark.createDataFrame([(round(M.adjusted_mutual_info(_orders(spark, d), "a", "b"), 9),)], "ami double")
 
@@ -337,19 +341,9 @@ def activations(spark, d):
     return _lines(spark, d).select("l_orderkey", "l_linenumber", *[_r(Activation(n).column(x)).alias(n) for n in _ACT])
 
 
-@query("with s as (select s_suppkey, s_acctbal / 1000 x, (s_suppkey % 7)::double y from supplier) select a.s_suppkey as a, b.s_suppkey as b, round(exp(-0.1 * (pow(a.x - b.x, 2) + pow(a.y - b.y, 2))), 9) as k from s a, s b where b.s_suppkey <= 20")
-def rbf_kernel(spark, d):
-    s = read_table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("x"), F.pmod("s_suppkey", F.lit(7)).cast("double").alias("y"))
-    few = s.where("s_suppkey <= 20").orderBy("s_suppkey").collect()  # the points that the rows are compared with
-    import numpy as np
-
-    k = Kernel("rbf", 0.1).against(s, ["x", "y"], np.array([[r["x"], r["y"]] for r in few]), "k")
-    return k.select(F.col("s_suppkey").alias("a"), F.posexplode("k").alias("i", "k")).select("a", F.get(F.lit([int(r["s_suppkey"]) for r in few]), F.col("i")).cast("long").alias("b"), _r("k", 9).alias("k"))
-
-
 @query("with s as (select s_suppkey, s_acctbal / 1000 x, (s_suppkey % 7)::double y from supplier) select a.s_suppkey as a, b.s_suppkey as b, round(exp(-0.1 * (pow(a.x - b.x, 2) + pow(a.y - b.y, 2))), 9) as k from s a, s b")
 def rbf_kernel_matrix(spark, d):
-    """The kernel of all suppliers with all; rbf_kernel is that of the first 20."""
+    """The kernel of all suppliers with all."""
     s = read_table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("x"), F.pmod("s_suppkey", F.lit(7)).cast("double").alias("y"))
     return Kernel("rbf", 0.1).between(s, "s_suppkey", ["x", "y"]).select("a", "b", _r("k", 9).alias("k"))
 
@@ -377,7 +371,16 @@ def _weighted(df: DataFrame) -> DataFrame:
     return df.select("l_orderkey", "l_linenumber", *[((F.col(c) - m) / s).alias(c) for c, m, s in (("l_quantity", 25.0, 15.0), ("l_extendedprice", 38000.0, 23000.0), ("l_discount", 0.05, 0.03))], (F.col("l_returnflag") == "R").cast("double").alias("y"))
 
 
-@query()
+def _logistic_sql(steps: int, rate: float) -> str:
+    """Each step's weights are a table of their own."""
+    odds = "1 / (1 + exp(-(a * x + b * y + c * z + i)))"
+    sql = f"with d as (select {_KEY}, (l_quantity - 25) / 15 x, (l_extendedprice - 38000) / 23000 y, (l_discount - 0.05) / 0.03 z, case when l_returnflag = 'R' then 1.0::double else 0 end l from lineitem), w0 as (select 0::double a, 0::double b, 0::double c, 0::double i)"
+    for k in range(steps):
+        sql += f", w{k + 1} as (select any_value(a) - {rate} * avg(e * x) a, any_value(b) - {rate} * avg(e * y) b, any_value(c) - {rate} * avg(e * z) c, any_value(i) - {rate} * avg(e) i from (select *, {odds} - l e from d, w{k}))"
+    return f"{sql} select {_KEY}, round({odds}, 6) as probability from d, w{steps}"
+
+
+@query(_logistic_sql(5, 0.5))
 def logistic_regression(spark, d):
     from quillmill.operators.linear import LogisticRegression
 
@@ -421,7 +424,17 @@ def svc(spark, d):
     return SVC(Kernel("rbf", 0.5)).fit(df, ["x", "y"], "label").predict(df).select("row_id", "prediction")
 
 
-@query()
+#: class means, the pooled covariance with its small ridge, and its inverse by cofactors
+_LDA = (
+    "with d as (select *, row_number() over () r, l_quantity x, l_extendedprice y, l_discount z, case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end l from lineitem), m as (select l, count(*)::double n, avg(x) mx, avg(y) my, avg(z) mz from d group by l), "
+    "s as (select sum((x - mx) * (x - mx)) xx, sum((x - mx) * (y - my)) xy, sum((x - mx) * (z - mz)) xz, sum((y - my) * (y - my)) yy, sum((y - my) * (z - mz)) yz, sum((z - mz) * (z - mz)) zz, count(*) - 3 f from d join m using (l)), "
+    "v as (select xx / f + g a, xy / f b, xz / f c, yy / f + g e, yz / f h, zz / f + g i from (select *, 1e-6 * (xx + yy + zz) / f / 3 g from s)), t as (select *, a * (e * i - h * h) - b * (b * i - h * c) + c * (b * h - e * c) t from v), "
+    "k as (select l, n / sum(n) over () p, mx, my, mz, (mx * (e * i - h * h) + my * (c * h - b * i) + mz * (b * h - c * e)) / t wx, (mx * (c * h - b * i) + my * (a * i - c * c) + mz * (b * c - a * h)) / t wy, (mx * (b * h - c * e) + my * (b * c - a * h) + mz * (a * e - b * b)) / t wz from m, t), "
+    f"q as (select {_KEY}, r, k.l, x * wx + y * wy + z * wz + ln(p) - 0.5 * (mx * wx + my * wy + mz * wz) q from d, k) select {_KEY}, arg_max(l, q)::int as prediction from q group by r, {_KEY}"
+)
+
+
+@query(_LDA)
 def lda(spark, d):
     from quillmill.operators.discriminant import LDA
 
@@ -512,6 +525,24 @@ def dense_predict(spark, d):
     return out.select("vec_id", F.transform("prediction", lambda v: F.round(v.cast("double"), 3)).alias("prediction"))
 
 
+#: an embedding as a sequence of 64 steps with one channel, through a convolution of fixed weights and an average of each four steps
+_CONV = (
+    "with e as (select vec_id, list_transform(embedding, lambda v: v::double) v from embeddings), c as (select vec_id, list_transform(range(0, 62), lambda t: [greatest(0, 0.5 * v[t + 1] - 0.25 * v[t + 2] + 0.75 * v[t + 3] + 0.1), greatest(0, v[t + 2] - v[t + 1] - 0.2)]) c from e) "
+    "select vec_id, list_transform(range(0, 30), lambda j: round((c[j // 2 * 4 + 1][j % 2 + 1] + c[j // 2 * 4 + 2][j % 2 + 1] + c[j // 2 * 4 + 3][j % 2 + 1] + c[j // 2 * 4 + 4][j % 2 + 1]) / 4, 3)) as prediction from c"
+)
+
+
+@query(_CONV)
+def convolution_predict(spark, d):
+    from quillmill import nn
+
+    conv = nn.Conv1D(2, 3, (64, 1), activation="relu")
+    conv.set_weights(weight=[[[0.5, -1.0]], [[-0.25, 1.0]], [[0.75, 0.0]]], bias=[0.1, -0.2])
+    net = nn.Sequential().add(conv).add(nn.AveragePooling1D(4))
+    out = net.predict_frame(read_table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", (64, 1))
+    return out.select("vec_id", F.transform("prediction", lambda v: F.round(v.cast("double"), 3)).alias("prediction"))
+
+
 @query()
 def network_training(spark, d):
     from quillmill import nn
