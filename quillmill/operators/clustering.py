@@ -6,14 +6,14 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.base import Estimator, check_counts, collect_matrix, finite_checks, map_rows, partition_sums
 from quillmill.errors import InvalidInput, InvalidParameter
 from quillmill.functions.distance import Metric
 from quillmill.operators.neighbors import nearest, radius_join
-from quillmill.plans.components import connected_components
+from quillmill.plans.components import checkpointed, connected_components, numbered
 from quillmill.random import make_rng
 
 
@@ -121,12 +121,12 @@ class DBSCAN(Clusterer):
 
     def fit(self, df: DataFrame, features: Sequence[str], row_id: str = "row_id") -> DBSCAN:
         check_counts(df.agg(*finite_checks(features)).first(), features)
-        pairs = radius_join(df, row_id, features, self.eps, self.metric).persist(StorageLevel.DISK_ONLY)
+        pairs = checkpointed(radius_join(df, row_id, features, self.eps, self.metric))
         core = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= self.min_samples).select(F.col("a").alias("id"))
         links = pairs.join(core, F.col("a") == F.col("id"), "left_semi").join(core, F.col("b") == F.col("id"), "left_semi")
         found = connected_components(links.select("a", "b"), keep_loops=True)
         first = found.select(F.col("node").alias("id"), F.col("component").alias("root"))
-        number = first.select("root").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("root")) - 1)  # as many rows as clusters
+        number = numbered(first.select("root").distinct(), "root", "cluster")
         cores = first.join(number, "root").select("id", F.col("cluster").cast("long").alias("cluster"))
         border = pairs.join(cores, F.col("b") == F.col("id")).groupBy("a").agg(F.min("cluster").alias("_near"))
         named = df.select(F.col(row_id).cast("long").alias("id"), *features)

@@ -66,9 +66,10 @@ def knn_join(queries: DataFrame, query_id: str, stored: DataFrame, stored_id: st
 def radius_join(df: DataFrame, row_id: str, features: Sequence[str], radius: float, metric: Metric = Metric(), block_rows: int = 20_000) -> DataFrame:
     """(a, b): all pairs within the radius, each row with itself too.
 
-    Rows are dealt into a grid over the first two features with cells of the radius; a row is compared with its own and neighbouring cells.
+    Rows are dealt into a grid over the two features that spread over the most cells of the radius; a row is compared with its own and neighbouring cells.
     """
-    dims = list(features)[:2]
+    spread = df.agg(*[(F.max(c) - F.min(c)).cast("double").alias(f"s{i}") for i, c in enumerate(features)]).first()
+    dims = [c for _, c in sorted(((-(spread[f"s{i}"] or 0.0), i), c) for i, c in enumerate(features))][:2]
     names = [f"f{i}" for i in range(len(features))]
     cell = [F.floor(F.col(c).cast("double") / F.lit(float(radius))).cast("long") for c in dims]
     base = df.select(F.col(row_id).cast("long").alias("id"), *[F.col(c).cast("double").alias(x) for c, x in zip(features, names, strict=True)], *[c.alias(f"g{i}") for i, c in enumerate(cell)])

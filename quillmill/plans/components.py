@@ -2,19 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def connected_components(edges: DataFrame, keep_loops: bool = False, rounds: int = 100) -> DataFrame:
-    """(node, component), component the least node reached. Each round is checkpointed, so lost executors cost a round at most."""
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder (spark.checkpoint.dir; one of our own only where none is set, as in tests)."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillmill-"))
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillmill-"))
+    return df.checkpoint()
+
+
+def numbered(df: DataFrame, col: str, out: str) -> DataFrame:
+    """df with the rank of each row by col, from 0 (rows without ties): ranks within ranges of col, and the counts of the ranges before."""
+    ranged = checkpointed(df.repartitionByRange(F.col(col)).withColumn("_part", F.spark_partition_id()))
+    total, before = 0, []
+    for part, n in sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect()):  # a row for each partition
+        before.append((part, total))
+        total += n
+    start = df.sparkSession.createDataFrame(before, "_part int, _before long")
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(col)) - 1
+    return ranged.withColumn("_rank", rank).join(F.broadcast(start), "_part").withColumn(out, F.col("_rank") + F.col("_before")).drop("_part", "_rank", "_before")
+
+
+def connected_components(edges: DataFrame, keep_loops: bool = False, rounds: int = 100) -> DataFrame:
+    """(node, component), component the least node reached. Each round is checkpointed, so lost executors cost a round at most."""
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    both = e.union(e.select("b", "a")).distinct().checkpoint()
+    both = checkpointed(e.union(e.select("b", "a")).distinct())
     if not keep_loops:
         both = both.where("a != b")
     label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")).checkpoint()

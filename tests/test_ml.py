@@ -305,3 +305,13 @@ def test_frame_training_draws_new_masks_and_learns_in_batches(spark):
     assert m.evaluate(x, y) < loss[0] * 0.2
     with pytest.raises(InvalidParameter):
         m.fit_frame(df, "x", "y", 1, (3,), batch_size=0)
+
+
+def test_ranks_come_from_ranges(spark):
+    from quillmill.plans.components import numbered
+
+    values = [int(v) for v in np.random.default_rng(8).choice(10_000, 500, replace=False)]
+    df = spark.createDataFrame([(v, f"x{v}") for v in values], "root long, name string")
+    got = sorted((r["cluster"], r["root"], r["name"]) for r in numbered(df, "root", "cluster").collect())
+    assert got == [(i, v, f"x{v}") for i, v in enumerate(sorted(values))]
+    assert numbered(df.limit(0), "root", "cluster").count() == 0
