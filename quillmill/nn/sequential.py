@@ -187,6 +187,25 @@ class Sequential:
             held.unpersist()
         return out
 
+    def evaluate_frame(self, df: DataFrame, x: str, y: str, x_shape: tuple[int, ...], y_shape: tuple[int, ...] = (1,)) -> float:
+        """The mean loss of df's rows, as evaluate() gives it for arrays; a pair of numbers leaves each task."""
+        self._ready()
+        for layer in self.layers:
+            layer._kept = None
+
+        def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, n = 0.0, 0
+            for b in it:
+                if b.num_rows:
+                    total += self.loss.compute_loss(array_column(b, y, y_shape), self.predict(array_column(b, x, x_shape))) * b.num_rows
+                    n += b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([float(total)]), pa.array([n], pa.int64())], names=["total", "n"])
+
+        r = df.select(x, y).mapInArrow(part, "total double, n long").agg(F.sum("total"), F.sum("n")).first()
+        if not r[1]:
+            raise EmptyInput("no rows")
+        return r[0] / r[1]
+
     def predict_frame(self, df: DataFrame, x: str, x_shape: tuple[int, ...], out: str = "prediction") -> DataFrame:
         """df with the flattened output of each row's array."""
         keep = df.drop(out)

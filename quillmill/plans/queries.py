@@ -543,6 +543,64 @@ def convolution_predict(spark, d):
     return out.select("vec_id", F.transform("prediction", lambda v: F.round(v.cast("double"), 3)).alias("prediction"))
 
 
+_VEC = "with e as (select vec_id, label, list_transform(embedding, lambda v: v::double) v from embeddings) "
+
+
+def _layers(spark, d, *layers, shape=(64,), first=64, digits=3):
+    """The first numbers of the layers' output for each embedding (float32, so few digits of few numbers are sure to round alike)."""
+    from quillmill import nn
+
+    net = nn.Sequential()
+    for layer in layers:
+        net.add(layer)
+    out = net.predict_frame(read_table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", shape)
+    return out.select("vec_id", F.transform(F.slice("prediction", 1, first), lambda v: F.round(v.cast("double"), digits) + F.lit(0.0)).alias("prediction"))  # no -0
+
+
+@query(_VEC + "select vec_id, [round(list_reduce(list_prepend(0::double, v), lambda h, x: tanh(0.5 * x + 0.3 * h + 0.1)), 3)] as prediction from e")
+def recurrent_predict(spark, d):
+    from quillmill import nn
+
+    rnn = nn.SimpleRNN(1, 1)
+    rnn.set_weights(kernel=[[0.5]], recurrent=[[0.3]], bias=[0.1])
+    return _layers(spark, d, rnn, shape=(64, 1))
+
+
+@query(_VEC + "select vec_id, list_transform(range(0, 16), lambda i: round(list_max(v[i * 4 + 1 : i * 4 + 4]), 6)) as prediction from e")
+def max_pooling_predict(spark, d):
+    from quillmill import nn
+
+    return _layers(spark, d, nn.MaxPooling1D(4), shape=(64, 1), digits=6)
+
+
+@query(_VEC + "select vec_id, list_transform(v[1:3], lambda x: round((x - list_avg(v)) / sqrt(list_var_pop(v) + 0.001), 2) + 0::double) as prediction from e")
+def layer_normalization(spark, d):
+    from quillmill import nn
+
+    return _layers(spark, d, nn.LayerNormalization((64,)), first=3, digits=2)
+
+
+@query(_VEC + "select vec_id, list_transform(range(0, 3), lambda i: round((v[i + 1] - list_avg(v[1:16])) / sqrt(list_var_pop(v[1:16]) + 0.001), 2) + 0::double) as prediction from e")
+def group_normalization(spark, d):
+    from quillmill import nn
+
+    return _layers(spark, d, nn.GroupNormalization((64,), 4), first=3, digits=2)
+
+
+@query(
+    _VEC + ", p as (select label % 2 y, 1 / (1 + exp(-list_sum(list_transform(range(0, 64), lambda i: v[i + 1] * (i * 7 % 11 - 5) / 20)))) p from e) "
+    "select 'mean_squared_error' as loss, round(avg((y - p) * (y - p)), 4) as value from p union all select 'mean_absolute_error', round(avg(abs(y - p)), 4) from p union all select 'binary_cross_entropy', round(-avg(y * ln(p) + (1 - y) * ln(1 - p)), 4) from p"
+)
+def network_losses(spark, d):
+    from quillmill import nn
+
+    e = read_table(spark, d, "embeddings").select("embedding", F.pmod("label", F.lit(2)).cast("float").alias("y"))
+    layer = nn.Dense(64, 1, "sigmoid")
+    layer.set_weights(weight=[[(i * 7 % 11 - 5) / 20] for i in range(64)], bias=[0.0])
+    losses = {"mean_squared_error": nn.MeanSquaredError(), "mean_absolute_error": nn.MeanAbsoluteError(), "binary_cross_entropy": nn.BinaryCrossEntropy()}
+    return spark.createDataFrame([(k, round(nn.Sequential().add(layer).compile(nn.SGD(0.1), f).evaluate_frame(e, "embedding", "y", (64,)), 4)) for k, f in losses.items()], "loss string, value double")
+
+
 @query()
 def network_training(spark, d):
     from quillmill import nn
