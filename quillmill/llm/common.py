@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +26,49 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+def materialize(df: DataFrame, name: str = "t", large: bool = True) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors.
 
-    The driver then collects its garbage, so that Spark removes the shuffle files of the step that is over; they would else stay until it happens to.
+    After a large step the driver collects its garbage, so that Spark removes the shuffle files of the step that is over; they would else stay until it happens to.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    if large:
+        spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    if _open:
+        _open[-1].append(out)
+    return out
+
+
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What is materialized within is deleted at the end, but for what `keep` names."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        discard(*_open.pop())
+
+
+def keep(df: DataFrame) -> DataFrame:
+    _open[-1].remove(df)
+    return df
+
+
+def discard(*steps: DataFrame | None) -> None:
+    """Delete what `materialize` wrote for these; only for steps that nothing unwritten reads any more."""
+    for df in steps:
+        path = getattr(df, "_written", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
@@ -43,6 +77,19 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name = "_" + name
+    return name
+
+
+def row_hash(doc_id: str = "doc_id", text: str = "text"):
+    """A 64-bit id of a row's doc_id and text: rows that share a doc_id are told apart by it."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

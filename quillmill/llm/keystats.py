@@ -6,14 +6,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import column, materialize
+from quillmill.llm.common import column, discard, materialize
 
 #: least count of a frequent key; most frequent keys (the bound rises until they fit)
 FREQUENT, MAX_FREQUENT = 64, 1 << 22
-_RANGES = 256
+_RANGE_BITS = 10
+_RANGES, _WIDTH = 1 << _RANGE_BITS, 32 - _RANGE_BITS
 _SHIFT = np.uint64(32)
 
 
@@ -34,9 +36,22 @@ def _undelta16(blob: bytes) -> np.ndarray:
     return np.cumsum(step, dtype=np.uint32)[step != 65535]
 
 
+def _planes(blob: bytes) -> bytes:
+    """16-bit steps with their low and high bytes apart, compressed: the high ones hold few values."""
+    return zstandard.ZstdCompressor(level=1).compress(np.frombuffer(blob, np.uint8).reshape(-1, 2).T.tobytes())
+
+
+def _unplanes(blob: bytes) -> bytes:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(2, -1).T.tobytes()
+
+
 def key_statistics(docs: DataFrame, hashes: Callable[[pa.Array], Iterator[np.ndarray]], frequent: int = FREQUENT, bits_per_key: int = 16) -> tuple[np.ndarray, np.ndarray, int]:
-    """hashes: 64-bit keys of a column of texts, whose upper half is counted. Gives (sorted frequent 32-bit keys, bitmap of keys that occur more than once, its number of bits as a power of 2: bits_per_key or more for each such key, 2 ** 30 at most)."""
-    rows = "range int, keys binary"
+    """hashes: 64-bit keys of a column of texts, whose upper half is counted. Gives (sorted frequent 32-bit keys, bitmap of keys that occur more than once, its number of bits as a power of 2: bits_per_key or more for each such key, 2 ** 30 at most).
+
+    Tasks send each key once, with its count where that is over 1, so a very common key is a row of each task and not of each place. A range of keys
+    is summed in an array of 2 ** 22 counters, whatever the number of keys. With more repeated keys than the bitmap has room for, more
+    keys pass it that occur once: those that use it send more, with the same results.
+    """
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -44,9 +59,18 @@ def key_statistics(docs: DataFrame, hashes: Callable[[pa.Array], Iterator[np.nda
 
         def flush() -> pa.RecordBatch:
             keys = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint32)
-            at = np.searchsorted(keys >> np.uint32(24), np.arange(_RANGES + 1))
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            times = np.diff(np.append(first, len(keys))).astype(np.int32)
+            keys = keys[first]
+            at = np.searchsorted(keys >> np.uint32(_WIDTH), np.arange(_RANGES + 1))
             some = [r for r in range(_RANGES) if at[r + 1] > at[r]]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([_delta16(keys[at[r] : at[r + 1]]) for r in some], pa.binary())], names=["range", "keys"])
+            blobs, more = [], []
+            for r in some:
+                blobs.append(_planes(_delta16(keys[at[r] : at[r + 1]] & np.uint32((1 << _WIDTH) - 1))))
+                n = times[at[r] : at[r + 1]]
+                again = np.flatnonzero(n > 1).astype(np.int32)
+                more.append(np.concatenate([again, n[again]]).astype("<i4").tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary()), pa.array(more, pa.binary())], names=["range", "keys", "more"])
 
         for b in it:
             for s in hashes(column(b, "text")):
@@ -57,36 +81,82 @@ def key_statistics(docs: DataFrame, hashes: Callable[[pa.Array], Iterator[np.nda
                     held, size = [], 0
         yield flush()
 
-    def merge(t: pa.Table) -> pa.Table:
-        keys, n = np.unique(np.concatenate([_undelta16(x) for x in t["keys"].to_pylist()]), return_counts=True)
-        often = n >= frequent
-        return pa.table({"range": pa.array([t["range"][0].as_py()], pa.int32()), "n": pa.array([int((n > 1).sum())], pa.int64()), "repeated": pa.array([keys[n > 1].astype("<u4").tobytes()], pa.binary()), "often": pa.array([keys[often].astype("<u4").tobytes()], pa.binary()), "times": pa.array([np.minimum(n[often], 2**31 - 1).astype("<i4").tobytes()], pa.binary())})
+    def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by range. Few keys are sorted, more are added up in the counters."""
+        counts, at, held, size = None, None, [], 0
+
+        def fold() -> None:
+            nonlocal counts, held, size
+            if counts is None:
+                counts = np.zeros(1 << _WIDTH, np.int64)
+            for keys, again, n in held:
+                counts[keys] += 1
+                counts[keys[again]] += n - 1
+            held, size = [], 0
+
+        def total() -> pa.RecordBatch:
+            nonlocal counts, held, size
+            if counts is None:
+                every = np.concatenate([k for k, _, _ in held] + [k[again] for k, again, _ in held])
+                n = np.concatenate([np.ones(size, np.int64)] + [n - 1 for _, _, n in held])
+                order = np.argsort(every, kind="stable")
+                every, n = every[order], n[order]
+                first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+                keys, n = every[first].astype(np.int64), np.add.reduceat(n, first)
+                keys, n = keys[n > 1], n[n > 1]
+            else:
+                fold()
+                keys = np.flatnonzero(counts > 1)
+                n = counts[keys]
+            counts, held, size = None, [], 0
+            often = n >= frequent
+            return pa.RecordBatch.from_arrays(
+                [pa.array([at], pa.int32()), pa.array([len(keys)], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (keys.astype("<u4"), keys[often].astype("<u4"), np.minimum(n[often], 2**31 - 1).astype("<i4")))],
+                names=["range", "n", "repeated", "often", "times"],
+            )
 
-    merged = materialize(docs.select("text").mapInArrow(send, rows).groupBy("range").applyInArrow(merge, "range int, n long, repeated binary, often binary, times binary"), "keys")
+        for b in it:
+            for r, blob, more in zip(*(column(b, c).to_pylist() for c in ("range", "keys", "more")), strict=True):
+                if r != at:
+                    if at is not None:
+                        yield total()
+                    at = r
+                keys = _undelta16(_unplanes(blob))
+                again, n = np.frombuffer(more, "<i4").reshape(2, -1)
+                held.append((keys, again, n.astype(np.int64)))
+                size += len(keys)
+                if size > 1 << (_WIDTH - 2):
+                    fold()
+        if at is not None:
+            yield total()
+
+    sent = docs.select("text").mapInArrow(send, "range int, keys binary, more binary").repartition("range").sortWithinPartitions("range")
+    merged = materialize(sent.mapInArrow(merge, "range int, n long, repeated binary, often binary, times binary"), "keys")
     total = merged.agg(F.sum("n")).first()[0] or 0
     bits = min(30, max(16, int(bits_per_key * total).bit_length()))
 
     def slices(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             out = []
-            for r, x in zip(column(b, "range").to_pylist(), column(b, "repeated").to_pylist(), strict=True):
-                flags = np.zeros(1 << (bits - 8), np.uint8)
-                flags[(np.frombuffer(x, "<u4") & 0xFFFFFF) >> (32 - bits)] = 1
+            for x in column(b, "repeated").to_pylist():
+                flags = np.zeros(1 << (bits - _RANGE_BITS), np.uint8)
+                flags[np.frombuffer(x, "<u4") >> (32 - bits)] = 1
                 out.append(np.packbits(flags).tobytes())
             yield pa.RecordBatch.from_arrays([column(b, "range"), pa.array(out, pa.binary())], names=["range", "bits"])
 
     bitmap = np.zeros(1 << (bits - 3), np.uint8)
-    width = 1 << (bits - 11)
+    width = 1 << (bits - 3 - _RANGE_BITS)
     for r in merged.select("range", "repeated").mapInArrow(slices, "range int, bits binary").toLocalIterator():
         bitmap[r["range"] * width : (r["range"] + 1) * width] = np.frombuffer(bytes(r["bits"]), np.uint8)
     often, times = [], []
     for r in merged.select("range", "often", "times").toLocalIterator():
-        often.append((np.frombuffer(bytes(r["often"]), "<u4") & 0xFFFFFF) + (r["range"] << 24))
+        often.append(np.frombuffer(bytes(r["often"]), "<u4") + (r["range"] << _WIDTH))
         times.append(np.frombuffer(bytes(r["times"]), "<i4"))
         if sum(map(len, often)) > 2 * MAX_FREQUENT:  # a greater bound for "frequent" is as right
             frequent *= 2
             keep = [t >= frequent for t in times]
             often, times = [x[m] for x, m in zip(often, keep, strict=True)], [t[m] for t, m in zip(times, keep, strict=True)]
+    discard(merged)
     keys = np.sort(np.concatenate(often)).astype(np.uint32) if often else np.zeros(0, np.uint32)
     return keys, bitmap, bits
 
