@@ -1,17 +1,18 @@
 """Benchmark decontamination by SimHash windows.
 
-Words are runs of letters and digits, lower case. Items of like length share a window size (that of the shortest, within
+Words are runs of letters and digits, lower case; a kana or Han character is a word. Items of like length share a window size (that of the shortest, within
 CLASS_RATIO); an item's fingerprint is the 64-bit SimHash of the word pairs in its middle window. Every window of that size of
 every document is fingerprinted (sums of bits over the window come from running sums) and looked up in four
 16-bit blocks: a distance of at most RADIUS leaves one block with at most RADIUS // 4 bits changed, and all such values are
 in the block's table, so no fingerprint within the radius is lost. As edits may put a window beyond the radius, all shingles of the items
 are looked up too: a row that has 0.8 of an item's weight, as every match must, is a candidate where they stand. Candidates are verified exactly: the Jaccard similarity, weighted
-by how rare a shingle is among the items, of the item's 5-word shingles (with multiplicity) and those of the
-item-sized window, best over small shifts, must be 0.8 or more.
+by how rare a shingle is among all items (a shingle that the item does not have weighs as much as one that no item has), of the item's 5-word shingles
+(with multiplicity) and those of the item-sized window, best over small shifts, must be 0.8 or more.
 
-The benchmark is the query set: it is sent to the tasks in blocks of MAX_ITEMS items; documents aren't shuffled.
+The benchmark is the query set: it is sent to the tasks in blocks of about MAX_ITEMS items and MAX_BYTES of text (a longer item is a block's only one); weights
+come from all items, so results don't depend on the blocks. Documents aren't shuffled.
 
-Null items and items of one word are skipped, items of 2 to 4 words have one shingle. Null and empty texts, and texts shorter
+Null items and items of one word are skipped (a word is no evidence of an item), items of 2 to 4 words have one shingle. Null and empty texts, and texts shorter
 than every window, match nothing, but a text of 0.8 of an item's length or more is one window. Repeated doc_ids give their own rows, equal
 items each match. Empty tables give an empty result; extra columns are ignored.
 """
@@ -28,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import column, pieces, small_batches, text_buffer
+from quillmill.llm.common import column, materialize, pieces, small_batches, text_buffer
 from quillmill.llm.textvec import mix, shingles, words
 
-RADIUS, WORDS, SIMILARITY, CLASS_RATIO, MAX_ITEMS = 11, 5, 0.8, 1.5, 20_000
+RADIUS, WORDS, SIMILARITY, CLASS_RATIO, MAX_ITEMS, MAX_BYTES = 11, 5, 0.8, 1.25, 20_000, 16 << 20
 
 
 def pairs_of(h: np.ndarray) -> np.ndarray:
@@ -59,9 +60,9 @@ def simhash(sums: np.ndarray, at: np.ndarray | slice, n: int) -> np.ndarray:
     if isinstance(at, slice):
         at = np.arange(sums.shape[1] - n) if n > 255 else at
     if n <= 255:
-        ones = (sums[:, n:] - sums[:, : sums.shape[1] - n] if isinstance(at, slice) else sums[:, at + n] - sums[:, at]).view(np.uint8)
+        ones = np.ascontiguousarray(sums[:, n:] - sums[:, : sums.shape[1] - n] if isinstance(at, slice) else sums[:, at + n] - sums[:, at]).view(np.uint8)
     else:
-        ones = sum((sums[:, np.minimum(at + k + 255, at + n)] - sums[:, at + k]).view(np.uint8).astype(np.int32) for k in range(0, n, 255))
+        ones = sum(np.ascontiguousarray(sums[:, np.minimum(at + k + 255, at + n)] - sums[:, at + k]).view(np.uint8).astype(np.int32) for k in range(0, n, 255))
     planes = np.packbits((ones > n // 2).reshape(-1)).reshape(8, -1)
     return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
 
@@ -110,19 +111,22 @@ class SizeClass:
 
 
 class Benchmark:
-    """Fingerprints, shingle counts and weights of a block of items."""
+    """Fingerprints, shingle counts and weights of a block of items. frequency: number of all items, a sorted array of shingles and how many items have each; None: the block is all."""
 
-    def __init__(self, ids: list[int], texts: list[str], radius: int):
+    def __init__(self, ids: list[int], texts: list[str], radius: int, frequency: tuple[int, np.ndarray, np.ndarray] | None = None):
         buf, off = text_buffer(pa.array(texts, pa.string()))
         h, _, _, row = words(buf, off, loose=True)
         mine = [h[row[i] : row[i + 1]] for i in range(len(ids))]
         self.ids, self.radius = ids, radius
         self.sizes = [len(x) for x in mine]
         self.counts = [Counter(item_shingles(x).tolist()) if len(x) else Counter() for x in mine]
-        df = Counter(s for c in self.counts for s in c)
         n = len(ids)
-        self.unseen = float(np.log1p(n))
-        self.weight = {s: float(np.log1p(n / k)) for s, k in df.items()}
+        if frequency is None:
+            df, total = Counter(s for c in self.counts for s in c), n
+        else:
+            total, df = frequency[0], dict(zip(frequency[1].tolist(), frequency[2].tolist(), strict=True))
+        self.unseen = float(np.log1p(total))
+        self.weight = {s: float(np.log1p(total / k)) for s, k in df.items()}
         self.mass = [sum(self.weight[s] * k for s, k in c.items()) for c in self.counts]
         self.classes: list[SizeClass] = []
         for i in sorted((i for i in range(n) if self.sizes[i] >= 2), key=lambda i: self.sizes[i]):
@@ -176,8 +180,22 @@ class Benchmark:
         have = Counter(item_shingles(window).tolist())
         mine = self.counts[item]
         both = sum(self.weight[s] * min(k, have[s]) for s, k in mine.items() if s in have)
-        other = sum(self.weight.get(s, self.unseen) * k for s, k in have.items())
-        return both / (self.mass[item] + other - both)
+        strange = self.unseen * sum(k for s, k in have.items() if s not in mine)
+        more = sum(self.weight[s] * max(0, have[s] - k) for s, k in mine.items() if s in have)
+        return both / (self.mass[item] + strange + more)
+
+    def best(self, h: np.ndarray, row: np.ndarray, most: int = 1 << 19) -> dict[tuple[int, int], tuple[float, int, int]]:
+        """`matches`; a row of over `most` words, which comes alone, in parts that overlap by two windows."""
+        if len(row) > 2 or len(h) <= most:
+            return self.matches(h, row)
+        over = 2 * max(self.sizes, default=0) + 8
+        out: dict[tuple[int, int], tuple[float, int, int]] = {}
+        for a in range(0, len(h), most):
+            part = h[a : a + most + over]
+            for at, (like, x, z) in self.matches(part, np.array([0, len(part)])).items():
+                if like > out.get(at, (0.0, 0, 0))[0]:
+                    out[at] = (like, x + a, z + a)
+        return out
 
     def matches(self, h: np.ndarray, row: np.ndarray) -> dict[tuple[int, int], tuple[float, int, int]]:
         """(row, item): (similarity, first word, past the last) of the best verified window; h: word hashes, row: first word of each row (n + 1)."""
@@ -225,30 +243,54 @@ class Benchmark:
         return best
 
 
+def item_frequencies(items: DataFrame) -> DataFrame:
+    """(block, s, k): shingle s of an item in the block is in k of all items."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            h, _, _, row = words(*text_buffer(column(b, "text")), loose=True)
+            mine = [np.unique(item_shingles(h[x:z])) if z > x else np.zeros(0, np.uint64) for x, z in zip(row[:-1].tolist(), row[1:].tolist(), strict=True)]
+            blocks = np.repeat(column(b, "block").to_numpy(zero_copy_only=False).astype(np.int32), [len(x) for x in mine])
+            yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(np.concatenate([np.zeros(0, np.uint64), *mine]).view(np.int64))], names=["block", "s"])
+
+    of = items.mapInArrow(run, "block int, s long").groupBy("block", "s").agg(F.count("*").alias("k"))
+    every = of.groupBy("s").agg(F.sum("k").alias("k"))
+    return of.select("block", "s").join(every, "s")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, max_items: int = MAX_ITEMS) -> DataFrame:
     """(doc_id, item_id, start, end, similarity): the best window (bytes) of each document that holds an item."""
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    n_blocks = max(1, -(-items.count() // max_items))
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n_blocks = max(1, -(-n // max_items), -(-size // MAX_BYTES))
+    if n_blocks == 1:
+        got = items.orderBy("item_id", "text").collect()
+        return _contaminated(docs, [r["item_id"] for r in got], [r["text"] for r in got], radius, None)
+    items = materialize(items.withColumn("block", F.expr(f"cast(pmod(xxhash64(item_id, text), {n_blocks}) as int)")), "items")
+    often = materialize(item_frequencies(items.select("block", "text")), "often")
     out = None
     for block in range(n_blocks):
-        got = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).orderBy("item_id", "text").collect()  # about max_items
-        found = _contaminated(docs, [r["item_id"] for r in got], [r["text"] for r in got], radius)
+        got = items.where(F.col("block") == block).orderBy("item_id", "text").collect()  # about max_items
+        if not got:
+            continue
+        t = often.where(F.col("block") == block).select("s", "k").orderBy("s").toArrow()
+        found = _contaminated(docs, [r["item_id"] for r in got], [r["text"] for r in got], radius, (n, t["s"].to_numpy().view(np.uint64), t["k"].to_numpy()))
         out = found if out is None else out.union(found)
     return out
 
 
-def _contaminated(docs: DataFrame, ids: list[int], texts: list[str], radius: int) -> DataFrame:
+def _contaminated(docs: DataFrame, ids: list[int], texts: list[str], radius: int, frequency: tuple[int, np.ndarray, np.ndarray] | None) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = Benchmark(ids, texts, radius)
+        bench = Benchmark(ids, texts, radius, frequency)
         for b in it:
             doc, arr = column(b, "doc_id").to_pylist(), column(b, "text")
             out: list[list] = [[] for _ in range(5)]
             for i, j in pieces(arr, 1 << 19):
                 buf, off = text_buffer(arr.slice(i, j - i))
                 h, s, e, row = words(buf, off, loose=True)
-                for (r, item), (like, a, z) in bench.matches(h, row).items():
+                for (r, item), (like, a, z) in bench.best(h, row).items():
                     for to, v in zip(out, (doc[i + r], ids[item], int(s[a] - off[r]), int(e[z - 1] - off[r]), like), strict=True):
                         to.append(v)
             yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in out[:4]), pa.array(out[4], pa.float64())], names=["doc_id", "item_id", "start", "end", "similarity"])

@@ -12,7 +12,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
-#: for matching of prose: ASCII letters and digits and every byte of a multi-byte character are word bytes
+#: for matching of prose: ASCII letters and digits and every byte of a multi-byte character are word bytes; kana and Han characters are words of their own
 WORDISH = np.zeros(256, bool)
 WORDISH[48:58] = WORDISH[65:91] = WORDISH[97:123] = True
 WORDISH[128:] = True
@@ -49,8 +49,20 @@ def lower_latin(buf: np.ndarray) -> np.ndarray:
     return out
 
 
-def spans(is_word: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of maximal runs of word bytes that stay within a row, and first word of each row (n + 1)."""
+def lone_characters(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the characters that are words by themselves, as these scripts have no blanks: U+3041 to U+30FF, U+3400 to U+9FFF, U+F900 to U+FAFF, U+20000 to U+32FFF."""
+    lead = np.flatnonzero(buf >= 0xE3)
+    if not len(lead):
+        return lead, lead
+    b, nxt = buf[lead], buf[np.minimum(lead + 1, len(buf) - 1)]
+    three = (b >= 0xE4) & (b <= 0xE9) | (b == 0xE3) & ((nxt >= 0x81) & (nxt <= 0x83) | (nxt >= 0x90)) | (b == 0xEF) & (nxt >= 0xA4) & (nxt <= 0xAB)
+    four = (b == 0xF0) & (nxt >= 0xA0) & (nxt <= 0xB2)
+    own = three | four
+    return lead[own], np.minimum(lead[own] + 3 + four[own], len(buf))
+
+
+def spans(is_word: np.ndarray, off: np.ndarray, alone: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of maximal runs of word bytes that stay within a row, and first word of each row (n + 1). alone: starts and ends that part runs as well."""
     n = len(is_word)
     cut = off[(off > 0) & (off < n)]
     first = is_word.copy()
@@ -59,6 +71,12 @@ def spans(is_word: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     last = is_word.copy()
     last[:-1] &= ~is_word[1:]
     last[cut - 1] = is_word[cut - 1]
+    if alone is not None and len(alone[0]):
+        a, z = alone
+        first[a] = last[z - 1] = True
+        z, a = z[z < n], a[a > 0]
+        first[z] |= is_word[z]
+        last[a - 1] |= is_word[a - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     return starts, ends, np.searchsorted(starts, off, "left")
 
@@ -76,10 +94,10 @@ def span_hashes(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 def words(buf: np.ndarray, off: np.ndarray, loose: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of every word, and the first word of each row (n + 1).
 
-    Words are runs of bytes other than ASCII white space, A-Z lower-cased; loose: runs of letters and digits, Latin letters lower-cased.
+    Words are runs of bytes other than ASCII white space, A-Z lower-cased; loose: runs of letters and digits, Latin letters lower-cased, each kana or Han character a word.
     """
     folded = lower_latin(buf) if loose else ASCII_LOWER[buf]
-    s, e, row = spans(WORDISH[buf] if loose else ~SPACE[buf], off)
+    s, e, row = spans(WORDISH[buf], off, lone_characters(buf)) if loose else spans(~SPACE[buf], off)
     return span_hashes(folded, s, e), s, e, row
 
 
