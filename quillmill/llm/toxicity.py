@@ -2,7 +2,7 @@
 
 A word's tokens are itself and its first 3, 4 and 5 characters. Every token gets a log-odds of toxic against other documents, shrunk by a Dirichlet prior of a half and a part in proportion to its
 share of all learned documents; a word scores by the token with the most evidence. A linear scan finds every maximal scoring segment of a text (words without evidence cost a
-little), and extreme-value statistics turn segment scores into bits above what a clean text of that length would reach by chance. A
+little), and extreme-value statistics (lambda from the scores of clean words, k from clean documents' best segments) turn segment scores into bits above what a clean text of that length would reach by chance. A
 logistic curve over a document's best segment and its sum of significant ones gives the score.
 
 Null and empty texts have no segment and get the curve's value there. Labels that are null, or without a document, teach
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +24,13 @@ from pyspark.sql import functions as F
 from quillmill.llm.common import column, crc_mod, materialize, pieces, small_batches, text_buffer
 from quillmill.llm.textvec import WORDISH, lower_latin, span_hashes, spans
 
-#: labelled rows that are learned from at most (those of least hash), words in the model at most
-MAX_LABELLED, MAX_WORDS = 50_000, 65_536
+#: labelled rows that are learned from at most (those of least hash); the model's tokens are those of these rows that tell the labels apart
+MAX_LABELLED = 50_000
 PRIOR, LEAST_Z, DRIFT, CLIP = 500.0, 3.3, 0.15, 6.0
+#: bits of a significant segment: one in 2 ** SIGNIFICANT clean texts has such by chance
+SIGNIFICANT = 3.0
+#: best bits of a text without a segment, and the least of any
+NO_SEGMENT = -20.0
 PREFIXES = (3, 4, 5)
 
 
@@ -76,7 +80,7 @@ class Lexicon:
     weights: np.ndarray
     z: np.ndarray
     lam: float
-    k: float = 0.1
+    k: float = 1.0  # of the extreme-value distribution: a text of n words has a score over s with the chance k n exp(-lam s)
 
 
 def _lambda(weights: np.ndarray, p: np.ndarray) -> float:
@@ -145,11 +149,10 @@ def learn(docs: DataFrame, labels: DataFrame, where=None, max_labelled: int = MA
     odds = lambda y, n: F.log((y + prior) / (F.lit(n + PRIOR) - y))
     delta = odds(F.col("pos"), n_pos) - odds(F.col("neg"), n_neg)
     z = delta / F.sqrt(1 / (F.col("pos") + prior) + 1 / (F.col("neg") + prior))
-    top = counts.where("h != 0").select("h", "neg", delta.alias("delta"), z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "h").limit(MAX_WORDS).collect()  # bounded by MAX_WORDS
-    top = sorted(top, key=lambda r: r["h"])
-    weights = np.clip(np.array([r["delta"] for r in top], float), -1.0, CLIP)
-    lam = _lambda(weights, np.array([r["neg"] for r in top], float) / n_neg)
-    return Lexicon(np.array([r["h"] for r in top], np.int64).view(np.uint64), weights, np.abs(np.array([r["z"] for r in top], float)), lam), known
+    top = counts.where("h != 0").select("h", "neg", delta.alias("delta"), z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy("h").toArrow()  # of at most max_labelled rows' tokens
+    weights = np.clip(top["delta"].to_numpy(), -1.0, CLIP)
+    lam = _lambda(weights, top["neg"].to_numpy().astype(float) / n_neg)
+    return Lexicon(top["h"].to_numpy().view(np.uint64), weights, np.abs(top["z"].to_numpy()), lam), known
 
 
 def word_scores(tokens: np.ndarray, lexicon: Lexicon) -> np.ndarray:
@@ -180,8 +183,8 @@ def segments_of(word_score: np.ndarray) -> list[tuple[int, int, float]]:
     return maximal_segments(scores, at)
 
 
-def passages(docs: DataFrame, lexicon: Lexicon, least_bits: float = 0.0) -> DataFrame:
-    """A row per document: doc_id, best and total (bits of its best and of all significant segments), spans (byte offsets and bits of these)."""
+def passages(docs: DataFrame, lexicon: Lexicon, least_bits: float = SIGNIFICANT) -> DataFrame:
+    """A row per document: doc_id, best and total (bits of its best segment, and what all significant ones have over least_bits), spans (byte offsets and bits of these)."""
     small_batches(docs.sparkSession)
     out_type = "doc_id long, n_words long, best double, total double, spans array<struct<start:long,end:long,bits:double>>"
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("bits", pa.float64())])
@@ -201,8 +204,8 @@ def passages(docs: DataFrame, lexicon: Lexicon, least_bits: float = 0.0) -> Data
                     found = [(p, q, (lexicon.lam * x - chance) / math.log(2)) for p, q, x in segments_of(ws[a:z])]
                     good = [x for x in found if x[2] > least_bits]
                     n_words.append(z - a)
-                    best.append(max((x[2] for x in found), default=-20.0))
-                    total.append(sum(x[2] for x in good))
+                    best.append(max((max(x[2], NO_SEGMENT) for x in found), default=NO_SEGMENT))
+                    total.append(sum(x[2] - least_bits for x in good))
                     spans.append([{"start": int(s[a + p] - off[r]), "end": int(e[a + q] - off[r]), "bits": x} for p, q, x in good])
             yield pa.RecordBatch.from_arrays([doc, pa.array(n_words, pa.int64()), pa.array(best, pa.float64()), pa.array(total, pa.float64()), pa.array(spans, pa.list_(span))], schema=schema)
 
@@ -210,7 +213,7 @@ def passages(docs: DataFrame, lexicon: Lexicon, least_bits: float = 0.0) -> Data
 
 
 def _features(best: np.ndarray, total: np.ndarray) -> np.ndarray:
-    return np.stack([np.ones_like(best), np.clip(best, -20, 60) / 10, np.log1p(np.maximum(total, 0))], 1)
+    return np.stack([np.ones_like(best), np.clip(best, NO_SEGMENT, 60) / 10, np.log1p(np.maximum(total, 0))], 1)
 
 
 def fit_curve(best: np.ndarray, total: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -226,6 +229,12 @@ def fit_curve(best: np.ndarray, total: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def fit_extremes(best: np.ndarray, n_words: np.ndarray, some: np.ndarray) -> float:
+    """k of the extreme-value distribution: its likeliest value for clean texts' best bits under k = 1 (2 ** -best is then n exp(-lam s)); some: which have a segment, the others are censored at a score of 0."""
+    chances = np.where(some, np.exp2(-best), n_words).sum()
+    return float(min(1e3, max(1e-9, max(1, int(some.sum())) / max(1e-300, float(chances)))))
+
+
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score of every document; learned from labels whose crc32(doc_id) mod 5 is not 0."""
     held_out = F.coalesce(crc_mod("doc_id") == 0, F.lit(True)).alias("held_out")
@@ -233,10 +242,23 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if model is None:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     lexicon, known = model
-    found = materialize(passages(docs, lexicon), "passages")
     ids = docs.sparkSession.createDataFrame([(int(i), int(t)) for i, t in known.items()], "doc_id long, toxic int")
-    learned = found.select("doc_id", "best", "total").join(F.broadcast(ids), "doc_id").limit(4 * MAX_LABELLED).toPandas()  # one row per labelled document used, but for repeated ids
-    w = [float(v) for v in fit_curve(learned["best"].to_numpy(float), learned["total"].to_numpy(float), learned["toxic"].to_numpy(float))]
-    z = F.lit(w[0]) + F.lit(w[1]) * F.greatest(F.lit(-20.0), F.least(F.lit(60.0), F.col("best"))) / 10 + F.lit(w[2]) * F.log1p(F.greatest(F.lit(0.0), F.col("total")))
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left_semi")  # ids: at most MAX_LABELLED
+    found = materialize(passages(labelled, lexicon, -1e9).join(F.broadcast(ids), "doc_id"), "labelled")
+
+    def per_document(shift: float) -> pa.Table:
+        """A row for each labelled id, of the text with the best segment where an id repeats."""
+        some = F.size("spans") > 0
+        best = F.when(some, F.greatest(F.lit(NO_SEGMENT), F.col("best") - F.lit(shift))).otherwise(F.lit(NO_SEGMENT))
+        total = F.aggregate("spans", F.lit(0.0), lambda a, x: a + F.greatest(F.lit(0.0), x["bits"] - F.lit(shift + SIGNIFICANT)))
+        rows = found.groupBy("doc_id").agg(F.max(F.struct(best.alias("best"), total.alias("total"), "n_words", some.alias("some"))).alias("x"), F.first("toxic").alias("toxic"))
+        return rows.select("x.*", "toxic").toArrow()
+
+    t = per_document(0.0)
+    clean = t["toxic"].to_numpy() == 0
+    lexicon = replace(lexicon, k=fit_extremes(*(t[c].to_numpy()[clean] for c in ("best", "n_words", "some"))))
+    t = per_document(math.log2(lexicon.k))
+    w = [float(v) for v in fit_curve(*(t[c].to_numpy().astype(float) for c in ("best", "total", "toxic")))]
+    z = F.lit(w[0]) + F.lit(w[1]) * F.greatest(F.lit(NO_SEGMENT), F.least(F.lit(60.0), F.col("best"))) / 10 + F.lit(w[2]) * F.log1p(F.greatest(F.lit(0.0), F.col("total")))
     p = 1 / (1 + F.exp(-z))
-    return found.select("doc_id", held_out, p.alias("score"), (p >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_passages"), F.col("best").alias("best_bits"))
+    return passages(docs, lexicon).select("doc_id", held_out, p.alias("score"), (p >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_passages"), F.col("best").alias("best_bits"))
