@@ -267,3 +267,120 @@ def test_benchmark_items_with_a_replaced_block_are_all_found():
             got = bench.matches(h, row)
             want = max(bench.similarity(i, h[p : p + size]) for p in range(len(h) - size + 1))
             assert ((0, i) in got) == (want >= 0.8) and ((0, i) not in got or got[0, i][0] >= want - 1e-12)
+
+
+def test_benchmark_results_do_not_depend_on_the_blocks(spark):
+    """Items that share a lead-in: a block's items alone would weigh it otherwise."""
+    rng = np.random.default_rng(13)
+    lead = drawn(rng, 25)
+    items, texts = [], []
+    for i in range(60):
+        own = drawn(rng, 40).split()
+        items.append((i, f"{lead} {' '.join(own)}"))
+        own[int(rng.integers(40))] = "changed"
+        texts.append((i, f"{drawn(rng, 10)} {lead} {' '.join(own)} {drawn(rng, 10)}"))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = [sorted((r["doc_id"], r["item_id"], round(r["similarity"], 9)) for r in decontam.contaminated(docs, bench, max_items=m).collect()) for m in (1000, 7)]
+    assert found[0] == found[1] and len(found[0]) > 10
+
+
+def test_benchmark_items_without_blanks_are_found(spark):
+    rng = np.random.default_rng(14)
+    item = "".join(map(chr, rng.integers(0x4E00, 0x9FA0, 40)))
+    other = "".join(map(chr, rng.integers(0x3041, 0x30F0, 200)))
+    docs = spark.createDataFrame([(1, f"{other[:50]}{item}{other[50:]}"), (2, other), (3, f"mixed words {item}")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontam.contaminated(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()}
+    assert set(got) == {1, 3}
+    assert docs.where("doc_id = 1").first()["text"].encode()[got[1]["start"] : got[1]["end"]].decode() == item
+
+
+def test_long_texts_are_searched_in_parts():
+    rng = np.random.default_rng(15)
+    items = [drawn(rng, 30) for _ in range(3)]
+    bench = decontam.Benchmark([0, 1, 2], items, decontam.RADIUS)
+    text = f"{drawn(rng, 90)} {items[0]} {drawn(rng, 64)} {items[1]} {drawn(rng, 300)}"
+    h, _, _, row = decontam.words(*decontam.text_buffer(decontam.pa.array([text])), loose=True)
+    whole = bench.matches(h, row)
+    assert set(whole) == {(0, 0), (0, 1)}
+    for most in (100, 128, 150):
+        assert bench.best(h, row, most) == whole
+
+
+def test_passages_with_two_words_replaced_are_found(spark):
+    """Planted passages of 100 words with 0 to 2 words replaced, half of them about a line that many documents have, held against the Jaccard similarity itself."""
+    rng = np.random.default_rng(16)
+    texts, want, line = [], collections.defaultdict(list), drawn(rng, 30).split()
+    for edits in range(3):
+        for k in range(20):
+            base = drawn(rng, 100).split()
+            if k % 2:
+                base[35:65] = line
+            other = list(base)
+            for at in rng.choice(100, edits, replace=False):
+                other[at] = "changed"
+            one, two = ({tuple(v[i : i + 5]) for i in range(96)} for v in (base, other))
+            texts += [f"{drawn(rng, 40)} {' '.join(v)} {drawn(rng, 40)}" for v in (base, other)]
+            if len(one & two) >= 0.8 * len(one | two):
+                want[edits].append(len(texts) - 1)
+    texts += [f"{drawn(rng, 60)} {' '.join(line)} {drawn(rng, 60)}" for _ in range(60)]
+    got = {r["doc_id"] for r in passages.near_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    for edits, docs in want.items():
+        assert docs and len(got & set(docs)) >= 0.95 * len(docs), edits
+    assert not got & set(range(120, 180))  # thirty words are no passage
+
+
+def test_passages_of_repeated_and_unnamed_rows(spark):
+    rng = np.random.default_rng(17)
+    p = drawn(rng, 60)
+    rows = [(1, f"{drawn(rng, 20)} {p}"), (2, f"{p} {drawn(rng, 20)}"), (2, f"{drawn(rng, 30)}"), (None, f"{drawn(rng, 10)} {p}"), (None, None), (3, "")]
+    rows.append(rows[1])
+    got = passages.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({(r["doc_id"], r["start"], r["end"]) for r in got}) == len(got) == 2
+    by_row = passages.near_passages(spark.createDataFrame([(1, p), (1, f"{p} {drawn(rng, 9)}")], "doc_id long, text string"), by_row=True).collect()
+    assert len(by_row) == 1 and by_row[0]["doc_id"] == by_row[0]["source_doc_id"] == 1
+
+
+def test_large_families_meet_in_blocks(spark, monkeypatch):
+    """Blocks of 8 sets, so that a family of 150 takes hubs and the second round."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "HUBS", 2)
+    rng = np.random.default_rng(18)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for i in range(150):
+        w = list(base)
+        for j in rng.choice(60, rng.integers(0, 6), replace=False):
+            w[j] = f"v{rng.integers(5)}"
+        rows.append((i, " ".join(w)))
+    got = sorted(tuple(r) for r in jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"), k=2, percent=80).collect())
+    want = brute_components(rows, 2, 80)
+    assert got == want and len({c for _, _, c in want}) > 3
+
+
+def test_one_row_of_each_group_stays(docs, rows):
+    got = sorted((r["doc_id"], r["text"]) for r in jaccard.one_of_each(docs, k=5, percent=80).select("doc_id", "text").collect() if r["text"] is not None)
+    first = {}
+    for i, _, c in brute_components(rows, 5, 80):
+        first[c] = min(first.get(c, i), i)
+    stay = {i for i, t, *_ in rows if i in first.values() or t is None or not t.split()}
+    assert [i for i, _ in got] == sorted(i for i in stay if next(t for j, t, *_ in rows if j == i) is not None)
+
+
+def test_key_counts_are_those_of_all_tasks(spark):
+    """A key in every row, keys that occur twice in a row or in two rows, and keys that occur once."""
+    from quillmill.llm import keystats
+
+    rng = np.random.default_rng(19)
+    some = rng.integers(0, 1 << 32, 400, dtype=np.uint64)
+    rows = [" ".join(map(str, [int(some[0]), int(some[1 + i % 150]), int(some[200 + i]), *([int(some[199])] * (2 * (i == 3)))])) for i in range(190)]
+    docs = spark.createDataFrame([(r,) for r in rows], "text string").repartition(5)
+
+    def hashes(texts):
+        for t in texts.to_pylist():
+            yield np.array([int(v) << 32 for v in t.split()], np.uint64)
+
+    count = collections.Counter(int(v) for r in rows for v in r.split())
+    often, bitmap, bits = keystats.key_statistics(docs, hashes, frequent=3)
+    assert often.tolist() == sorted(k for k, n in count.items() if n >= 3)
+    assert keystats.flagged(bitmap, bits, np.array([k << 32 for k, n in count.items() if n > 1], np.uint64)).all()
+    assert keystats.flagged(bitmap, bits, np.array([k << 32 for k, n in count.items() if n == 1], np.uint64)).mean() < 0.2

@@ -76,6 +76,66 @@ def test_toxicity_learns_words_and_prefixes(spark, docs, empty):
     assert toxicity.score(d.limit(0), lab).count() == 0 and {r["score"] for r in toxicity.score(d, lab.limit(0)).collect()} == {0.0}
 
 
+def test_bundles_are_sums_of_bound_letters():
+    """Against each trigram's product of rolled letter vectors, added up one by one."""
+    symbols, _, letters = langid._tables()
+    text = "Ab, zé ab"
+    s = [0]
+    for ch in text:
+        k = int(symbols[ord(ch)])
+        if k or s[-1]:
+            s.append(k)
+    s += [0] if s[-1] else []
+    want = sum((np.roll(letters[a], 2).astype(int) * np.roll(letters[b], 1) * letters[c] for a, b, c in zip(s, s[1:], s[2:])), np.zeros(langid.DIM))
+    codes, at, _ = langid.trigrams([text])
+    u, n = np.unique(codes[at[0, 0] : at[0, 1]], return_counts=True)
+    assert (langid.bundle(u, n) == want).all()
+
+
+def held(spark, name):
+    from pathlib import Path
+
+    folder = Path("/root/testdata/sf0.01")
+    if not folder.exists():
+        pytest.skip("the driver's tables are not here")
+    return spark.read.parquet(str(folder / f"{name}.parquet"))
+
+
+def test_languages_of_held_out_documents(spark):
+    docs = held(spark, "documents")
+    got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred != 'und'").toPandas()
+    assert len(got) > 100 and (got["lang"] == got["lang_pred"]).mean() >= 0.97
+
+
+def test_toxicity_of_held_out_documents(spark):
+    labels = held(spark, "labels")
+    got = toxicity.score(held(spark, "documents"), labels).join(labels.select("doc_id", "toxic"), "doc_id").where("held_out").toPandas()
+    bad, good = (got["score"][got["toxic"] == t].to_numpy() for t in (1, 0))
+    assert len(bad) > 3 and ((bad[:, None] > good[None]) + 0.5 * (bad[:, None] == good[None])).mean() >= 0.85
+
+
+def test_extreme_values_of_clean_texts():
+    """k is found again from draws of the distribution that it belongs to, censored at a score of 0."""
+    rng = np.random.default_rng(5)
+    n, k = rng.integers(20, 400, 20_000), 0.004
+    chance = rng.exponential(1 / k, len(n))  # n exp(-lam s)
+    some = chance < n
+    assert toxicity.fit_extremes(-np.log2(chance), n, some) == pytest.approx(k, rel=0.05)
+    assert toxicity.fit_extremes(np.array([-20.0]), np.array([0]), np.array([False])) > 0
+
+
+def test_toxicity_of_rows_without_an_id_and_of_double_labels(spark):
+    rng = np.random.default_rng(6)
+    plain = ["stone", "river", "cloud", "green", "water", "house"]
+    rows = [(i, " ".join([*rng.choice(plain, 30), *(["zzkgrub"] * 2 if i % 3 == 0 else [])])) for i in range(300)]
+    labels = [(i, int(i % 3 == 0)) for i in range(300)] + [(3, 0), (None, 1), (6, None)]
+    d = spark.createDataFrame([*rows, (None, "zzkgrub zzkgrub stone"), (None, None), rows[3]], "doc_id long, text string")
+    got = toxicity.score(d, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert len(got) == 303 and all(r["held_out"] for r in got if r["doc_id"] is None)
+    assert len({(r["score"], r["predicted"]) for r in got if r["doc_id"] == 3}) == 1
+    assert all(r["predicted"] == 1 for r in got if r["doc_id"] in (3, 6, 9))
+
+
 URLS = ["http://a.b.example.net/en/1", "https://EXAMPLE.net?x", "ftp://x.net/p#f", "http://example.com/de/", "http://sub.example.com/de", "http://w.org/fr/a?b", "http://notexample.net.org/en/", None, "", "no scheme", "http://", "x://spam-farm.example.org/", "y://net/", "http://anet/", "a://b.org/fr/://c.net/"]
 
 
@@ -130,3 +190,9 @@ def test_likeness_estimates_jaccard(spark):
     df = spark.createDataFrame(rows, "a string, b string, j double")
     got = df.select("j", fingerprint.likeness(fingerprint.packed(df.a), fingerprint.packed(df.b)).alias("e")).toPandas()
     assert np.abs(got.j - got.e).mean() < 0.04 and np.abs(got.j - got.e).max() < 0.13
+
+
+def test_url_filter_with_columns_of_its_own_names(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x", "h", "p", "r", "v"), (1, "http://a.net/x", "h", "p", "r", "v"), (2, None, None, None, None, None)], "page_id long, url string, host string, path string, rule string, verdict string")
+    got = sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages).collect() if r["page_id"] == 1)
+    assert got == [(1, "a.net", "/x", "net/", "block")] * 2

@@ -108,3 +108,12 @@ def test_packed_matrices_give_the_documents_back(docs, empty, rows, spark, tmp_p
     assert len({r["sequence_id"] for r in got}) == len(got) and token_output.packed_sequences(empty).count() == 0
     with pytest.raises(Exception, match="fit"):
         token_output.packed_sequences(docs, dtype="u1").collect()
+
+
+def test_pack_with_columns_of_its_own_names(spark):
+    rows = [(i, f"some words {i}", i, i, i, "x") for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, piece long, length long, task long, sequence_id string")
+    got = packing.pack(d).collect()
+    want = packing.pack(d.select("doc_id", "text")).collect()
+    key = lambda r: (r["doc_id"], r["piece"], r["length"], r["ids_crc32"])
+    assert sorted(map(key, got)) == sorted(map(key, want))
