@@ -275,9 +275,9 @@ def test_benchmark_results_do_not_depend_on_the_blocks(spark):
     lead = drawn(rng, 25)
     items, texts = [], []
     for i in range(60):
-        own = drawn(rng, 40).split()
+        own = drawn(rng, 70).split()
         items.append((i, f"{lead} {' '.join(own)}"))
-        own[int(rng.integers(40))] = "changed"
+        own[int(rng.integers(70))] = "changed"
         texts.append((i, f"{drawn(rng, 10)} {lead} {' '.join(own)} {drawn(rng, 10)}"))
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
