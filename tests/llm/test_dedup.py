@@ -7,6 +7,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from quillmill.llm import decontam, graph, jaccard, passages, substrings
 
@@ -384,3 +385,33 @@ def test_key_counts_are_those_of_all_tasks(spark):
     assert often.tolist() == sorted(k for k, n in count.items() if n >= 3)
     assert keystats.flagged(bitmap, bits, np.array([k << 32 for k, n in count.items() if n > 1], np.uint64)).all()
     assert keystats.flagged(bitmap, bits, np.array([k << 32 for k, n in count.items() if n == 1], np.uint64)).mean() < 0.2
+
+
+def test_large_bitmaps_go_to_tasks_as_files(spark, monkeypatch):
+    """Their pickled form stays small, and tasks get the same results; a bitmap comes to the driver in parts."""
+    import pickle
+
+    from quillmill.llm import keystats
+
+    monkeypatch.setattr(keystats, "SENT_AS_FILE", 1 << 10)
+    monkeypatch.setattr(keystats, "AT_ONCE", 1 << 11)
+    rng = np.random.default_rng(20)
+    texts = [" ".join(f"w{v}" for v in rng.integers(0, 300, 40)) for _ in range(60)]
+    texts += [t + " z" for t in texts[:30]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    _, bitmap, bits = keystats.key_statistics(docs, lambda col: jaccard.document_sets(col, 3))
+    (bitmap_sent,) = keystats.sent(spark, bitmap)
+    assert len(pickle.dumps(bitmap_sent)) < 1000 < bitmap.nbytes and (bitmap_sent() == bitmap).all()
+    count = collections.Counter(int(v) >> 32 for s in jaccard.document_sets(pa.array(texts), 3) for v in s)
+    assert keystats.flagged(bitmap, bits, np.array([k << 32 for k, n in count.items() if n > 1], np.uint64)).all()
+    got = sorted(tuple(r) for r in jaccard.components(docs, k=3, percent=80).collect())
+    assert got == brute_components(list(enumerate(texts)), 3, 80)
+
+
+def test_the_bound_of_frequent_keys_rises_until_they_fit(spark, monkeypatch):
+    from quillmill.llm import keystats
+
+    monkeypatch.setattr(keystats, "MAX_FREQUENT", 2)
+    docs = spark.createDataFrame([(" ".join(str(k) for k in range(1, 9) if i < 3 * 2**k),) for i in range(800)], "text string").repartition(4)
+    often, _, _ = keystats.key_statistics(docs, lambda col: (np.array([int(v) << 32 for v in t.split()], np.uint64) for t in col.to_pylist()), frequent=3)
+    assert often.tolist() == [5, 6, 7, 8]  # those of 3 * 2 ** 5 rows and more are 4
