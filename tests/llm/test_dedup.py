@@ -415,3 +415,17 @@ def test_the_bound_of_frequent_keys_rises_until_they_fit(spark, monkeypatch):
     docs = spark.createDataFrame([(" ".join(str(k) for k in range(1, 9) if i < 3 * 2**k),) for i in range(800)], "text string").repartition(4)
     often, _, _ = keystats.key_statistics(docs, lambda col: (np.array([int(v) << 32 for v in t.split()], np.uint64) for t in col.to_pylist()), frequent=3)
     assert often.tolist() == [5, 6, 7, 8]  # those of 3 * 2 ** 5 rows and more are 4
+
+
+def test_passages_and_substrings_take_bitmaps_from_files(spark, docs, monkeypatch):
+    """As the pipeline's stages do at size: no bitmap in a closure, equal results."""
+    from quillmill.llm import keystats
+
+    files = []
+    add = type(spark.sparkContext).addFile
+    monkeypatch.setattr(type(spark.sparkContext), "addFile", lambda sc, path, **k: (files.append(path), add(sc, path, **k))[1])
+    some = docs.where("doc_id < 150")
+    want = [sorted(map(str, f(some).collect())) for f in (passages.near_passages, substrings.dedup)]
+    monkeypatch.setattr(keystats, "SENT_AS_FILE", 0)
+    assert [sorted(map(str, f(some).collect())) for f in (passages.near_passages, substrings.dedup)] == want
+    assert len(files) >= 4
