@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillmill.errors import InvalidParameter
-from quillmill.nn.layer import F32, Layer
+from quillmill.nn.layer import F32, Layer, width
 
 # fixed values: SELU's alpha and scale
 SELU_ALPHA, SELU_SCALE = 1.6732632, 1.050701
@@ -17,7 +17,7 @@ SELU_ALPHA, SELU_SCALE = 1.6732632, 1.050701
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     e = np.exp(-np.abs(x))
-    return np.where(x >= 0, 1 / (1 + e), e / (1 + e)).astype(F32)
+    return np.where(x >= 0, 1 / (1 + e), e / (1 + e)).astype(width(x))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -41,7 +41,7 @@ class Activation:
         return x if isinstance(x, Activation) else cls(x or "linear")
 
     def forward(self, z: np.ndarray) -> np.ndarray:
-        return _FORWARD[self.name](self, z).astype(F32, copy=False)
+        return _FORWARD[self.name](self, z).astype(width(z), copy=False)
 
     def backward(self, y: np.ndarray, g: np.ndarray) -> np.ndarray:
         """From the activated output."""
@@ -60,9 +60,9 @@ _FORWARD: dict[str, Callable] = {
     "sigmoid": lambda s, z: _sigmoid(z),
     "tanh": lambda s, z: np.tanh(z),
     "softmax": lambda s, z: _softmax(z),
-    "leaky_relu": lambda s, z: np.where(z >= 0, z, F32(s.slope) * z),
-    "elu": lambda s, z: np.where(z > 0, z, F32(s.alpha) * np.expm1(np.minimum(z, 0))),
-    "selu": lambda s, z: F32(SELU_SCALE) * np.where(z > 0, z, F32(SELU_ALPHA) * np.expm1(np.minimum(z, 0))),
+    "leaky_relu": lambda s, z: np.where(z >= 0, z, width(z)(s.slope) * z),
+    "elu": lambda s, z: np.where(z > 0, z, width(z)(s.alpha) * np.expm1(np.minimum(z, 0))),
+    "selu": lambda s, z: width(z)(SELU_SCALE) * np.where(z > 0, z, width(z)(SELU_ALPHA) * np.expm1(np.minimum(z, 0))),
     "softplus": lambda s, z: np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z))),
     "softsign": lambda s, z: z / (1 + np.abs(z)),
     "hard_sigmoid": lambda s, z: np.clip(z + 3, 0, 6) / 6,
@@ -151,7 +151,7 @@ class PReLU(Layer):
     def forward(self, x: np.ndarray, training: bool = True) -> np.ndarray:
         if training:
             self._kept = x
-        return np.where(x > 0, x, self.params["alpha"] * x).astype(F32, copy=False)
+        return np.where(x > 0, x, self.params["alpha"] * x).astype(width(x), copy=False)
 
     def backward(self, g: np.ndarray) -> np.ndarray:
         x, a = self._back(), self.params["alpha"]

@@ -9,7 +9,7 @@ import numpy as np
 
 from quillmill.errors import InvalidParameter, ShapeMismatch
 from quillmill.nn.activations import Activation
-from quillmill.nn.layer import F32, Layer, glorot, make_rng
+from quillmill.nn.layer import F32, Layer, glorot, make_rng, width
 
 
 def _tuple(v, d: int) -> tuple[int, ...]:
@@ -49,7 +49,7 @@ def conv_forward(x, w, b, strides, padding):
     d = x.ndim - 2
     pads, out = borders(x.shape[1:-1], w.shape[:d], strides, padding)
     padded = np.pad(x, [(0, 0), *pads, (0, 0)])
-    y = np.zeros((len(x), *out, w.shape[-1]), F32)
+    y = np.zeros((len(x), *out, w.shape[-1]), width(x))
     for at, sl in places(w.shape[:d], strides, out):
         y += padded[sl] @ w[at]
     return y + b if b is not None else y
@@ -119,7 +119,7 @@ def conv_transpose_forward(x, w, b, strides, padding):
     """w: kernel sizes, filters, channels in."""
     d = x.ndim - 2
     full, first, size = transpose_geometry(x.shape[1:-1], w.shape[:d], strides, padding)
-    y = np.zeros((len(x), *full, w.shape[-2]), F32)
+    y = np.zeros((len(x), *full, w.shape[-2]), width(x))
     for at, sl in places(w.shape[:d], strides, x.shape[1:-1]):
         y[sl] += x @ w[at].T
     return y[(slice(None), *(slice(a, a + n) for a, n in zip(first, size, strict=True)))] + b
@@ -165,7 +165,7 @@ def depthwise_forward(x, w, b, strides, padding):
     d = x.ndim - 2
     pads, out = borders(x.shape[1:-1], w.shape[:d], strides, padding)
     padded = np.pad(x, [(0, 0), *pads, (0, 0)])
-    y = np.zeros((len(x), *out, *w.shape[-2:]), F32)
+    y = np.zeros((len(x), *out, *w.shape[-2:]), width(x))
     for at, sl in places(w.shape[:d], strides, out):
         y += padded[sl][..., None] * w[at]
     y = y.reshape(len(x), *out, -1)

@@ -6,7 +6,7 @@ import numpy as np
 
 from quillmill.errors import InvalidInput, InvalidParameter, ShapeMismatch
 from quillmill.nn.activations import Activation
-from quillmill.nn.layer import F32, Layer, glorot, make_rng
+from quillmill.nn.layer import F32, Layer, glorot, make_rng, width
 
 
 class Dense(Layer):
@@ -216,7 +216,7 @@ class _UpSampling(_Shape):
         for axis, f in enumerate(self.size, 1):
             m = resize_matrix(shape[axis], f, self.interpolation)
             x = np.moveaxis(np.tensordot(m.T if back else m, x, (1, axis)), 0, axis)
-        return np.ascontiguousarray(x, F32)
+        return np.ascontiguousarray(x, width(x))
 
     def _there(self, x):
         return self._apply(x, x.shape, False)

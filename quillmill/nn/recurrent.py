@@ -6,7 +6,7 @@ import numpy as np
 
 from quillmill.errors import InvalidParameter, ShapeMismatch
 from quillmill.nn.activations import Activation, _sigmoid
-from quillmill.nn.layer import F32, Layer, glorot, make_rng, orthogonal
+from quillmill.nn.layer import F32, Layer, glorot, make_rng, orthogonal, width
 
 
 class _Recurrent(Layer):
@@ -46,7 +46,7 @@ class _Recurrent(Layer):
 class SimpleRNN(_Recurrent):
     def forward(self, x: np.ndarray, training: bool = True) -> np.ndarray:
         z = self._start(x)
-        h = [np.zeros((len(x), self.units), F32)]
+        h = [np.zeros((len(x), self.units), width(x))]
         for t in range(x.shape[1]):
             h.append(self.activation.forward(z[:, t] + h[-1] @ self.params["recurrent"]))
         if training:
@@ -73,7 +73,7 @@ class LSTM(_Recurrent):
 
     def forward(self, x: np.ndarray, training: bool = True) -> np.ndarray:
         z, n = self._start(x), self.units
-        h = c = np.zeros((len(x), n), F32)
+        h = c = np.zeros((len(x), n), width(x))
         kept = []
         for t in range(x.shape[1]):
             a = z[:, t] + h @ self.params["recurrent"]
@@ -107,7 +107,7 @@ class GRU(_Recurrent):
 
     def forward(self, x: np.ndarray, training: bool = True) -> np.ndarray:
         a, n, u = self._start(x), self.units, self.params["recurrent"]
-        h, kept = np.zeros((len(x), n), F32), []
+        h, kept = np.zeros((len(x), n), width(x)), []
         for t in range(x.shape[1]):
             gates = _sigmoid(a[:, t, : 2 * n] + h @ u[:, : 2 * n])
             z, r = gates[:, :n], gates[:, n:]
