@@ -12,6 +12,7 @@ from quillmill.plans import queries as Q
 
 ROWS = {
     "dense_predict": [122980, 43402, 84575, 78252, 106299, 178157, 42246, 58141],
+    "convolution_predict": [27423, 111642, 276832, 291459, 236479, 290600, 4122, 268918],
 }
 
 
