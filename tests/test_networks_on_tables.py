@@ -14,6 +14,7 @@ ROWS = {
     "dense_predict": [122980, 43402, 84575, 78252, 106299, 178157, 42246, 58141],
     "convolution_predict": [27423, 111642, 276832, 291459, 236479, 290600, 4122, 268918],
     "recurrent_predict": [100634, 101598, 111296, 11951, 125526, 13987, 145009, 160521],
+    "max_pooling_predict": [270272, 121793, 176938, 19115, 153732, 87884, 27931],
 }
 
 
