@@ -16,21 +16,79 @@ from quillmill.functions.distance import Metric
 from quillmill.operators.preprocessing import label_mapping
 
 
-def nearest(q: np.ndarray, x: np.ndarray, k: int, metric: Metric, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def _parts(x: np.ndarray, size: int) -> list[np.ndarray]:
+    """Places of the rows in parts of at most `size` that lie near each other: halves by the column that spreads most."""
+    out, stack = [], [np.arange(len(x))]
+    while stack:
+        at = stack.pop()
+        spread = np.ptp(x[at], axis=0) if len(at) > size else np.zeros(1)
+        if not spread.max() > 0:
+            out += [at[i : i + size] for i in range(0, len(at), size)]
+            continue
+        half = len(at) // 2
+        by = np.argpartition(x[at, int(spread.argmax())], half)
+        stack += [at[by[half:]], at[by[:half]]]
+    return out
+
+
+class Boxes:
+    """Stored rows in small parts with the box of each, so that a query meets only parts that may hold one of its nearest. Of many columns boxes say little: one part."""
+
+    def __init__(self, x: np.ndarray, size: int = 32, columns: int = 8):
+        self.x = x
+        self.parts = _parts(x, size) if len(x) > 64 * size and x.shape[1] <= columns else [np.arange(len(x))]
+        self.low, self.high = (np.stack([f(x[p], axis=0) for p in self.parts]) for f in (np.min, np.max))
+        self.sizes = np.array([len(p) for p in self.parts])
+
+    def near(self, q: np.ndarray, k: int, metric: Metric) -> np.ndarray:
+        """Places, in order, of all rows that can be among the k nearest of a row of q."""
+        if len(self.parts) == 1:
+            return self.parts[0]
+        low, high = q.min(0), q.max(0)
+        least, most = (_norm(v, metric) for v in (np.maximum(0, np.maximum(self.low - high, low - self.high)), np.maximum(self.high - low, high - self.low)))
+        by = np.argsort(most)
+        bound = most[by[np.searchsorted(np.cumsum(self.sizes[by]), k)]]  # so near are k rows of any query
+        return np.sort(np.concatenate([self.parts[i] for i in np.flatnonzero(least <= bound * (1 + 1e-9))]))
+
+
+def _norm(v: np.ndarray, metric: Metric) -> np.ndarray:
+    return np.sqrt((v * v).sum(1)) if metric.kind == "euclidean" else v.sum(1) if metric.kind == "manhattan" else (v**metric.p).sum(1) ** (1 / metric.p)
+
+
+def _direct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows (the last axis), from differences in order of columns: equal distances come out equal, as in SQL."""
+    out = np.zeros(np.broadcast_shapes(a.shape, b.shape)[:-1])
+    for j in range(a.shape[-1]):
+        e = a[..., j] - b[..., j]
+        out += e * e
+    return np.sqrt(out)
+
+
+def nearest(q: np.ndarray, x: np.ndarray | Boxes, k: int, metric: Metric, block: int = 128, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
     """Distances and places of the k rows of x nearest to each row of q, by (distance, place)."""
-    k = min(k, len(x))
+    boxes = x if isinstance(x, Boxes) else Boxes(x)
+    k = min(k, len(boxes.x))
     d_out, i_out = np.empty((len(q), k)), np.empty((len(q), k), np.int64)
-    for a in range(0, len(q), block):
-        d = metric.pairs(q[a : a + block], x)
-        if k < len(x):
+    for rows in _parts(q, block) if len(boxes.parts) > 1 else [np.arange(i, min(i + block, len(q))) for i in range(0, len(q), block)]:
+        at = boxes.near(q[rows], k, metric)
+        some = boxes.x[at]
+        step = max(1, most // len(at))
+        for i in range(0, len(rows), step):
+            mine = rows[i : i + step]
+            a, slack = q[mine], 0.0
+            if metric.kind == "euclidean" and a.shape[1] <= 16:
+                d = _direct(a[:, None, :], some[None, :, :])
+            else:
+                d = metric.pairs(a, some)
+                if metric.kind == "euclidean":  # of a product, so within rounding
+                    slack = 1e-12 * a.shape[1] * ((a * a).sum(1) + (some * some).sum(1).max())[:, None]
             kth = np.partition(d, k - 1, 1)[:, k - 1 : k]
-            for r in range(len(d)):
-                near = np.flatnonzero(d[r] <= kth[r])  # in order of place, so that ties go to the first
-                pick = near[np.argsort(d[r, near], kind="stable")[:k]]
-                d_out[a + r], i_out[a + r] = d[r, pick], pick
-        else:
-            order = np.argsort(d, 1, kind="stable")
-            i_out[a : a + block], d_out[a : a + block] = order, np.take_along_axis(d, order, 1)
+            r, c = np.nonzero(d <= kth if metric.kind != "euclidean" or a.shape[1] <= 16 else d * d <= kth * kth + slack)
+            v = d[r, c] if metric.kind != "euclidean" or a.shape[1] <= 16 else _direct(a[r], some[c])
+            by = np.lexsort((c, v, r))
+            n = np.bincount(r, minlength=len(mine))
+            take = by[(np.cumsum(n) - n)[:, None] + np.arange(k)]
+            d_out[mine], i_out[mine] = v[take], at[c[take]]
     return d_out, i_out
 
 
@@ -136,9 +194,11 @@ class KNN(Predictor):
         at = {v: i for i, v in enumerate(self._labels)}
         if self.n * 8 * (len(self.features) + 1) <= MAX_BROADCAST:
             rows = self._stored.orderBy(self.row_id).toArrow()
-            x = np.stack([rows[c].cast(pa.float64()).to_numpy() for c in self.features], 1)
+            x = Boxes(np.stack([rows[c].cast(pa.float64()).to_numpy() for c in self.features], 1))
             y = np.array([at[v] for v in rows[self.label].to_pylist()])
             labels, k, metric = self._labels, self.k, self.metric
+            if len(x.parts) > 1:  # a small file of queries may be one task's
+                df = df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
 
             def body(q: np.ndarray):
                 d, i = nearest(q, x, k, metric)

@@ -315,3 +315,23 @@ def test_ranks_come_from_ranges(spark):
     got = sorted((r["cluster"], r["root"], r["name"]) for r in numbered(df, "root", "cluster").collect())
     assert got == [(i, v, f"x{v}") for i, v in enumerate(sorted(values))]
     assert numbered(df.limit(0), "root", "cluster").count() == 0
+
+
+def test_nearest_takes_ties_by_place_and_skips_far_parts():
+    """Against all distances in order of columns: equal ones come out equal, whatever the sizes; only some parts are met."""
+    from quillmill.operators.neighbors import Boxes, nearest
+
+    rng = np.random.default_rng(3)
+    for n, columns, m in ((5000, 2, 300), (50, 2, 20), (3000, 20, 40), (4000, 3, 200)):
+        x = np.round(rng.normal(size=(n, columns)) * 3, 2 if columns < 20 else 0) / 1000 + 7
+        x = x[rng.integers(0, n // 3, n)]  # copies
+        q = np.concatenate([np.round(rng.normal(size=(m, columns)) * 3, 2) / 1000 + 7, x[:10]])
+        d = np.zeros((len(q), n))
+        for j in range(columns):
+            d += (q[:, j, None] - x[None, :, j]) ** 2
+        d = np.sqrt(d)
+        got_d, got_i = nearest(q, x, 5, D.Metric())
+        want = np.argsort(d, 1, kind="stable")[:, :5]
+        assert (got_i == want).all() and (got_d == np.take_along_axis(d, want, 1)).all()
+    boxes = Boxes(rng.normal(size=(20000, 2)))
+    assert len(boxes.near(boxes.x[:1], 5, D.Metric())) < 1000
