@@ -121,17 +121,20 @@ class DBSCAN(Clusterer):
 
     def fit(self, df: DataFrame, features: Sequence[str], row_id: str = "row_id") -> DBSCAN:
         check_counts(df.agg(*finite_checks(features)).first(), features)
-        pairs = checkpointed(radius_join(df, row_id, features, self.eps, self.metric))
-        core = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= self.min_samples).select(F.col("a").alias("id"))
+        rows = df.select(F.col(row_id).cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in features])
+        points = checkpointed(rows.groupBy(*features).agg(F.min("id").alias("id"), F.count("*").alias("w")))  # equal rows are one with a weight
+        pairs = checkpointed(radius_join(points, "id", features, self.eps, self.metric))
+        weight = points.select(F.col("id").alias("b"), "w")
+        core = pairs.join(weight, "b").groupBy("a").agg(F.sum("w").alias("n")).where(F.col("n") >= self.min_samples).select(F.col("a").alias("id"))
         links = pairs.join(core, F.col("a") == F.col("id"), "left_semi").join(core, F.col("b") == F.col("id"), "left_semi")
         found = connected_components(links.select("a", "b"), keep_loops=True)
         first = found.select(F.col("node").alias("id"), F.col("component").alias("root"))
         number = numbered(first.select("root").distinct(), "root", "cluster")
         cores = first.join(number, "root").select("id", F.col("cluster").cast("long").alias("cluster"))
         border = pairs.join(cores, F.col("b") == F.col("id")).groupBy("a").agg(F.min("cluster").alias("_near"))
-        named = df.select(F.col(row_id).cast("long").alias("id"), *features)
-        labelled = named.join(border, F.col("id") == F.col("a"), "left").drop("a").join(cores.withColumnRenamed("id", "core_id"), F.col("id") == F.col("core_id"), "left")
-        self.labels = labelled.select("id", F.coalesce("cluster", "_near", F.lit(-1)).cast("long").alias("cluster"), F.col("core_id").isNotNull().alias("core"), *features)
+        labelled = points.join(border, F.col("id") == F.col("a"), "left").drop("a").join(cores.withColumnRenamed("id", "core_id"), F.col("id") == F.col("core_id"), "left")
+        labelled = labelled.select(*features, F.coalesce("cluster", "_near", F.lit(-1)).cast("long").alias("cluster"), F.col("core_id").isNotNull().alias("core"))
+        self.labels = rows.join(labelled, list(features)).select("id", "cluster", "core", *features)
         self.features, self.row_id = list(features), row_id
         return self
 

@@ -335,3 +335,45 @@ def test_nearest_takes_ties_by_place_and_skips_far_parts():
         assert (got_i == want).all() and (got_d == np.take_along_axis(d, want, 1)).all()
     boxes = Boxes(rng.normal(size=(20000, 2)))
     assert len(boxes.near(boxes.x[:1], 5, D.Metric())) < 1000
+
+
+def test_equal_points_count_each_in_silhouette(spark):
+    """Against all pairs; blocks hold points, and equal ones are one."""
+    rng = np.random.default_rng(8)
+    x, y = rng.integers(0, 4, (90, 2)).astype(float), rng.integers(0, 3, 90)
+    f, cols = frame(spark, x, y=[int(v) for v in y])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    a = np.array([d[i, y == y[i]].sum() / ((y == y[i]).sum() - 1) for i in range(90)])
+    b = np.array([min(d[i, y == k].mean() for k in range(3) if k != y[i]) for i in range(90)])
+    want = np.mean(np.where(np.maximum(a, b) == 0, 0, (b - a) / np.maximum(a, b)))
+    assert M.scalar(M.silhouette_score(f, cols, "y", block=7)) == pytest.approx(want, abs=1e-12)
+    from pyspark.sql import functions as F
+
+    many = f.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(50))))
+    plan = M.silhouette_score(many, cols, "y", block=16)
+    assert M.scalar(plan) == pytest.approx(M.scalar(M.silhouette_score(many, cols, "y", block=5000)), abs=1e-12)
+
+
+def test_dbscan_joins_different_points_only(spark, monkeypatch):
+    """Copies weigh as much as they are, but aren't paired with each other."""
+    from quillmill.operators import clustering
+
+    x = [[0.0], [0.4], [0.8], [5.0], [9.0]]
+    rows = [(i, *x[i % 5]) for i in range(200)]
+    df = spark.createDataFrame([*rows, (200, 20.0)], "row_id long, x double")
+    sizes = []
+    join = clustering.radius_join
+    monkeypatch.setattr(clustering, "radius_join", lambda *a, **k: (lambda out: (sizes.append(out.count()), out)[1])(join(*a, **k)))
+    got = {r["row_id"]: r["cluster"] for r in clustering.DBSCAN(0.5, 40).fit_predict(df, ["x"]).collect()}
+    assert sizes == [10]  # 6 points with themselves, 2 pairs in both orders
+    assert got == {i: -1 if i == 200 else (0, 0, 0, 1, 2)[i % 5] for i in range(201)}
+
+
+def test_components_of_a_long_chain_are_found_at_once(spark):
+    from quillmill.plans.components import connected_components
+
+    ids = np.random.default_rng(4).permutation(3000)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in zip(ids[:-1], ids[1:])] + [(5000, 5001), (7000, 7000)], "a long, b long")
+    got = {r["node"]: r["component"] for r in connected_components(edges, keep_loops=True).collect()}
+    assert got == {**{i: 0 for i in range(3000)}, 5000: 5000, 5001: 5000, 7000: 7000}
+    assert 7000 not in {r["node"] for r in connected_components(edges).collect()}
