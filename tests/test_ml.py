@@ -377,3 +377,33 @@ def test_components_of_a_long_chain_are_found_at_once(spark):
     got = {r["node"]: r["component"] for r in connected_components(edges, keep_loops=True).collect()}
     assert got == {**{i: 0 for i in range(3000)}, 5000: 5000, 5001: 5000, 7000: 7000}
     assert 7000 not in {r["node"] for r in connected_components(edges).collect()}
+
+
+def test_kernel_pca_of_more_rows_than_a_matrix_may_have(spark):
+    """Copies weigh, and products in tasks give the pairs of the dense matrix over all rows."""
+    x = np.repeat(np.random.default_rng(6).normal(size=(60, 2)), 3, axis=0)[:170]
+    df, cols = frame(spark, x)
+    k = np.exp(-0.5 * ((x[:, None] - x[None]) ** 2).sum(2))
+    centred = k - k.mean(0)[None] - k.mean(1)[:, None] + k.mean()
+    w, v = np.linalg.eigh(centred)
+    for most in (2000, 10):
+        m = KernelPCA(Kernel("rbf", 0.5), 2).fit(df, cols, max_rows=most)
+        assert m.eigenvalues == pytest.approx(w[::-1][:2], rel=1e-8)
+        z = np.array([r["kpca"] for r in m.transform(df).orderBy("row_id").collect()])
+        assert np.abs(np.abs(z) - np.abs(v[:, ::-1][:, :2] * np.sqrt(w[::-1][:2]))).max() < 1e-6
+
+
+def test_svc_of_more_rows_than_a_matrix_may_have(spark):
+    """Decisions of points with weights are those of all rows, with the matrix or with rows of it."""
+    from quillmill.operators.svm import smo
+
+    rng = np.random.default_rng(7)
+    x = np.repeat(np.round(rng.normal(size=(60, 2)), 1), 3, axis=0)
+    y = (x[:, 0] + 0.3 * rng.normal(size=180) > 0).astype(float)
+    df, cols = frame(spark, x, y=[float(v) for v in y])
+    k = Kernel("rbf", 0.5).matrix(x, x)
+    alpha, b, _ = smo(k, np.where(y > 0, 1.0, -1.0), 1.0, 1e-6, 1000, rng)
+    want = k @ (alpha * np.where(y > 0, 1.0, -1.0)) + b
+    for most in (2000, 10):
+        m = SVC(Kernel("rbf", 0.5), tol=1e-6).fit(df, cols, "y", max_rows=most)
+        assert got(m.decision_function(df), "decision")[:, 0] == pytest.approx(want, abs=1e-3)
