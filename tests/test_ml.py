@@ -407,3 +407,13 @@ def test_svc_of_more_rows_than_a_matrix_may_have(spark):
     for most in (2000, 10):
         m = SVC(Kernel("rbf", 0.5), tol=1e-6).fit(df, cols, "y", max_rows=most)
         assert got(m.decision_function(df), "decision")[:, 0] == pytest.approx(want, abs=1e-3)
+
+
+def test_tsne_of_more_rows_than_a_matrix_may_have(spark):
+    """Neighbours and repulsion from tasks move the rows as the dense matrices do."""
+    x = np.random.default_rng(9).normal(size=(70, 3))
+    df, cols = frame(spark, x)
+    one, two = (
+        np.array([r["embedding"] for r in TSNE(2, 5, n_iter=8, random_state=1, learning_rate=20).fit_transform(df, cols, max_rows=most).orderBy("row_id").collect()]) for most in (2000, 10)
+    )
+    assert np.abs(one - two).max() < 1e-6 * np.abs(one).max()
