@@ -36,3 +36,12 @@ def test_every_digit_is_that_of_sql(spark, folder, name):
     ours = {r["vec_id"]: repr(r["prediction"]) for r in Q.QUERIES[name](spark, str(folder)).collect()}
     theirs = duckdb.connect().sql(Q.ORACLE[name].replace("from embeddings", f"from '{folder}/embeddings.parquet'")).to_arrow_table()
     assert ours == dict(zip(theirs["vec_id"].to_pylist(), map(repr, theirs["prediction"].to_pylist()), strict=True))
+
+
+def test_max_pooling_of_signed_zeros_and_great_numbers_is_that_of_sql(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    x = [*rng.choice([-0.0, 0.0, np.inf, -np.inf, -1.0], (60, 64), p=[0.4, 0.4, 0.02, 0.02, 0.16]), *(rng.normal(size=(60, 64)) * 10.0 ** rng.uniform(0, 30, (60, 1)))]
+    pq.write_table(pa.table({"vec_id": range(len(x)), "embedding": pa.array([v.astype(np.float32) for v in x], pa.list_(pa.float32())), "label": [0] * len(x)}), tmp_path / "embeddings.parquet")
+    ours = {r["vec_id"]: repr(r["prediction"]) for r in Q.QUERIES["max_pooling_predict"](spark, str(tmp_path)).collect()}
+    theirs = duckdb.connect().sql(Q.ORACLE["max_pooling_predict"].replace("from embeddings", f"from '{tmp_path}/embeddings.parquet'")).to_arrow_table()
+    assert ours == dict(zip(theirs["vec_id"].to_pylist(), map(repr, theirs["prediction"].to_pylist()), strict=True))
