@@ -429,3 +429,23 @@ def test_passages_and_substrings_take_bitmaps_from_files(spark, docs, monkeypatc
     monkeypatch.setattr(keystats, "SENT_AS_FILE", 0)
     assert [sorted(map(str, f(some).collect())) for f in (passages.near_passages, substrings.dedup)] == want
     assert len(files) >= 4
+
+
+def test_texts_that_no_join_can_change_are_not_shuffled(spark, rows, docs, monkeypatch):
+    """parted's first part holds every row with a key; stages shuffle texts of such rows only, with no join small enough to be broadcast."""
+    import corpus_pipeline
+    from quillmill.llm.keystats import parted
+
+    keys = spark.range(0, 3000, 7).selectExpr("xxhash64(id) as k")
+    every = spark.range(3000).selectExpr("id", "xxhash64(id) as h")
+    some, rest = ([r["id"] for r in x.collect()] for x in parted(every, "h", keys, "k"))
+    assert set(range(0, 3000, 7)) <= set(some) and len(some) < 800 and sorted(some + rest) == list(range(3000))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for stage in (corpus_pipeline.jaccard_join, corpus_pipeline.substring_dedup):
+            plan = stage(spark, docs, "")._jdf.queryExecution().optimizedPlan().toString()
+            for join in plan.split("Join Left")[1:]:  # the join's left side has texts
+                assert "MapInArrow" in join.split("Join ")[0], plan
+        test_one_row_of_each_group_stays(docs, rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
