@@ -449,3 +449,24 @@ def test_texts_that_no_join_can_change_are_not_shuffled(spark, rows, docs, monke
         test_one_row_of_each_group_stays(docs, rows)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_all_pairs_within_groups():
+    one, two, large = passages._all_pairs(np.array([3, 5, 5, 5, 8, 8, 9, 9, 9, 9]), 3)
+    assert list(zip(one.tolist(), two.tolist())) == [(2, 1), (3, 1), (3, 2), (5, 4)] and large.tolist() == [False] * 6 + [True] * 4
+
+
+def test_near_passages_about_a_line_whose_first_row_is_not_near(spark):
+    """Two later documents share 52 words with one replaced, of them a line of 42 words that 12 earlier documents have; no 45 words in a row are shared."""
+    rng = np.random.default_rng(21)
+    texts, want = [], []
+    for _ in range(40):
+        line, a, z = drawn(rng, 42).split(), drawn(rng, 2).split(), drawn(rng, 8).split()
+        texts += [f"{drawn(rng, 30)} {' '.join(line)} {drawn(rng, 30)}" for _ in range(12)]
+        one = [*a, *line, *z]
+        two = list(one)
+        two[44] = "changed"
+        texts += [f"{drawn(rng, 30)} {' '.join(v)} {drawn(rng, 30)}" for v in (one, two)]
+        want.append(len(texts) - 1)
+    got = {r["doc_id"] for r in passages.near_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    assert not got - set(want) and len(got) >= 38, len(got)
