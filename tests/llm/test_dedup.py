@@ -9,7 +9,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from quillmill.llm import decontam, graph, jaccard, passages, substrings
+from quillmill.llm import common, decontam, graph, jaccard, passages, substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -470,3 +470,34 @@ def test_near_passages_about_a_line_whose_first_row_is_not_near(spark):
         want.append(len(texts) - 1)
     got = {r["doc_id"] for r in passages.near_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
     assert not got - set(want) and len(got) >= 38, len(got)
+
+
+def test_a_slice_goes_to_the_joins_of_its_side_only(spark, monkeypatch):
+    """Slices that are only sources carry no places in the text; each side's join gets its own slices."""
+    rng = np.random.default_rng(8)
+    shared = [drawn(rng, 70) for _ in range(3)]
+    texts = [f"{drawn(rng, 30)} {s} {drawn(rng, 30)}" for s in shared for _ in range(2)]
+    written = {}
+
+    def kept(df, name="t", large=True):
+        written[name] = common.materialize(df, name, large)
+        return written[name]
+
+    monkeypatch.setattr(passages, "materialize", kept)
+    got = {r["doc_id"]: r["source_doc_id"] for r in passages.near_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {1: 0, 3: 2, 5: 4}
+    sides = {(r["side"], len(r["bytes"]) > 0) for r in written["slices"].collect()}
+    assert sides == {(passages._SOURCE, False), (passages._PASSAGE, True)}
+
+
+def test_segments_are_those_of_words_shingled_anew():
+    """Shingles that are kept for the next comparison, and runs bounded in steps, change no segment."""
+    rng = np.random.default_rng(31)
+    x = rng.integers(0, 1 << 32, 600).astype("<u4")
+    x[300:360] = x[100:160]
+    mine = passages.Shingled(x)
+    for part in range(0, 500, 50):
+        y = x[part : part + 300].copy()
+        y[::45] = rng.integers(0, 1 << 32, len(y[::45]))
+        want = passages.matching_segments(x, y, 50, 0.8)
+        assert want and passages.matching_segments(mine, y, 50, 0.8) == want
