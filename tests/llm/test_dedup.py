@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from quillmill.llm import common, decontam, graph, jaccard, passages, substrings
 
@@ -501,3 +502,37 @@ def test_segments_are_those_of_words_shingled_anew():
         y[::45] = rng.integers(0, 1 << 32, len(y[::45]))
         want = passages.matching_segments(x, y, 50, 0.8)
         assert want and passages.matching_segments(mine, y, 50, 0.8) == want
+
+
+def test_op4_repeats_of_a_row_of_its_own_are_not_counted(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def stop(rows, hashes, *_):
+        raise Seen(hashes)
+
+    monkeypatch.setattr(passages, "key_statistics", stop)
+    with pytest.raises(Seen) as seen:
+        passages.near_passages(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    own = " ".join(f"w{i}" for i in range(60))
+    for keys in seen.value.args[0](pa.array([" ".join([own] * 20), None, " ".join([own] * 2)])):
+        _, n = np.unique(keys, return_counts=True)
+        assert len(n) and n.max() <= 2  # once for each of the two rows
+    assert [len(keys) for keys in seen.value.args[0](pa.array([], pa.string()))] in ([], [0] * passages.HASHES)
+
+
+def test_op4_words_and_edges_are_coded_without_loss():
+    rng = np.random.default_rng(5)
+    often = rng.permutation(1 << 20)[:65535].astype("<u4")
+    for table in (often, often[:3], often[:0]):
+        for h in (often[:500], rng.integers(0, 1 << 32, 500, dtype=np.uint64).astype("<u4"), np.concatenate([often[-7:], [0, 2**32 - 1]]).astype("<u4"), often[:0]):
+            code = passages.WordCode(table)
+            assert np.array_equal(code.unpack(code.pack(h)), h)
+    texts = ["", None, "é ü 語 " * 50]
+    assert common.unsqueezed(common.squeezed(pa.array(texts, pa.string()))).to_pylist() == texts
+    c = np.array([0, 5, 1 << 30, 7])
+    w, w2 = passages._pack(c, np.array([9, 1, 5000, 0]), np.array([0, 3, 2, 1]), 4), passages._pack(np.array([3, 0, 2, 7]), np.array([4, 2, 9, 0]), np.array([1, 2, 8, 0]), 4)
+    met, shift = passages.edges_of(w, w2, np.array([0, 1, 0, 1]))
+    got, left, right, f = passages._unpack(met)
+    assert np.array_equal(shift >> 1 ^ -(shift & 1), [3, -5, 2 - (1 << 30), 0])
+    assert np.array_equal(got, c) and left.tolist() == [4, 1, 9, 0] and right.tolist() == [0, 2, 2, 0] and f.tolist() == [4, 12, 4, 12]
