@@ -417,3 +417,30 @@ def test_tsne_of_more_rows_than_a_matrix_may_have(spark):
         np.array([r["embedding"] for r in TSNE(2, 5, n_iter=8, random_state=1, learning_rate=20).fit_transform(df, cols, max_rows=most).orderBy("row_id").collect()]) for most in (2000, 10)
     )
     assert np.abs(one - two).max() < 1e-6 * np.abs(one).max()
+
+
+def test_tsne_query_takes_all_steps(spark, monkeypatch):
+    """As many as the class and the original do by default; 30 were not even the early part of 250."""
+    from quillmill.operators import decomposition
+    from quillmill.plans import queries
+
+    steps = []
+    monkeypatch.setattr(queries, "_points", lambda s, d: s.createDataFrame([(i, i / 10, float(i % 7)) for i in range(20)], "row_id long, x double, y double"))
+    monkeypatch.setattr(decomposition.TSNE, "embed", lambda self, x, session=None: (steps.append(self.n_iter), np.zeros((len(x), 2)))[1])
+    assert queries.tsne(spark, "").count() == 20 and steps == [1000]
+
+
+def test_tsne_repulsion_by_grid_is_that_of_all_pairs():
+    from quillmill.operators.decomposition import repulsion_by_grid
+
+    rng = np.random.default_rng(3)
+    for dims in (1, 2):
+        for scale in (1e-4, 0.1, 2, 20):
+            y = rng.normal(0, scale, (300, dims)) * np.array([1, 3])[:dims]
+            d = y[:, None] - y[None]
+            w = 1 / (1 + (d * d).sum(2))
+            np.fill_diagonal(w, 0)
+            want = ((w * w)[..., None] * d).sum(1)
+            push, total = repulsion_by_grid(y, {})
+            assert np.abs(push - want).max() < 1e-3 * np.abs(want).max() and total == pytest.approx(w.sum(), rel=1e-4)
+    assert repulsion_by_grid(rng.normal(size=(9, 3)), {}) is None and repulsion_by_grid(np.zeros((9, 2)), {}) is None
