@@ -444,3 +444,23 @@ def test_tsne_repulsion_by_grid_is_that_of_all_pairs():
             push, total = repulsion_by_grid(y, {})
             assert np.abs(push - want).max() < 1e-3 * np.abs(want).max() and total == pytest.approx(w.sum(), rel=1e-4)
     assert repulsion_by_grid(rng.normal(size=(9, 3)), {}) is None and repulsion_by_grid(np.zeros((9, 2)), {}) is None
+
+
+def test_kernel_pca_holds_small_blocks_of_the_kernel(spark, monkeypatch):
+    """In the fit's products and in transform: a batch of rows by all points was held at once."""
+    from quillmill.operators import decomposition
+
+    x = np.random.default_rng(8).normal(size=(3000, 2))
+    sizes = []
+    matrix = Kernel.matrix
+    monkeypatch.setattr(Kernel, "matrix", lambda self, a, b: (sizes.append(len(a) * len(b)), matrix(self, a, b))[1])
+    monkeypatch.setattr(decomposition, "by_rows", lambda s, n, body, columns: np.concatenate([body(np.arange(i, min(i + 256, n))) for i in range(0, n, 256)]))
+    monkeypatch.setattr(decomposition, "map_rows", lambda df, names, kinds, body: body(x))
+    df, cols = frame(spark, x)
+    m = KernelPCA(Kernel("rbf", 0.5), 2).fit(df, cols)
+    z = np.array(m.transform(df)[0])
+    assert max(sizes) <= 256 * 2048
+    k = matrix(m.kernel, x, x)
+    centred = k - k.mean(0)[None] - k.mean(1)[:, None] + k.mean()
+    assert np.abs(np.linalg.norm(z, axis=0) ** 2 - m.eigenvalues).max() < 1e-6 * m.eigenvalues[0]
+    assert np.abs(centred @ z - z * m.eigenvalues).max() < 1e-6 * m.eigenvalues[0]
