@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,8 +109,18 @@ class KMeans(Clusterer):
         return map_rows(df, self.features, {out: "long"}, lambda x: [_squares(x, c).argmin(1)])
 
 
+#: pairs within eps (estimated) above which DBSCAN of one feature goes along the line; points of a range there; a mark for no run
+MOST_PAIRS, LINE_ROWS, NO_RUN = 1 << 22, 50_000, -(1 << 60)
+
+
+def dense(points: DataFrame, x: str, eps: float) -> float:
+    """About how many pairs of points lie within eps of each other on the line."""
+    cells = points.groupBy(F.floor(F.col(x) / F.lit(float(eps)))).agg(F.count("*").cast("double").alias("n"))
+    return cells.agg(F.sum(F.col("n") * F.col("n"))).first()[0] * 2 or 0.0
+
+
 class DBSCAN(Clusterer):
-    """Density clustering: a range self-join on a grid, components of core rows, border rows to the first cluster that reaches them.
+    """Density clustering: a range self-join on a grid (of one feature and many pairs, a sweep along the line), components of core rows, border rows to the first cluster that reaches them.
 
     Clusters are numbered by their first core row (by row_id); noise is -1.
     """
@@ -123,6 +134,16 @@ class DBSCAN(Clusterer):
         check_counts(df.agg(*finite_checks(features)).first(), features)
         rows = df.select(F.col(row_id).cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in features])
         points = checkpointed(rows.groupBy(*features).agg(F.min("id").alias("id"), F.count("*").alias("w")))  # equal rows are one with a weight
+        if len(features) == 1 and dense(points, features[0], self.eps) > MOST_PAIRS:
+            labelled = self._along_line(points, features[0])
+        else:
+            labelled = self._by_pairs(points, features)
+        self.labels = rows.join(labelled, list(features)).select("id", "cluster", "core", *features)
+        self.features, self.row_id = list(features), row_id
+        return self
+
+    def _by_pairs(self, points: DataFrame, features: Sequence[str]) -> DataFrame:
+        """The features of different points with cluster and core, from all pairs within eps."""
         pairs = checkpointed(radius_join(points, "id", features, self.eps, self.metric))
         weight = points.select(F.col("id").alias("b"), "w")
         core = pairs.join(weight, "b").groupBy("a").agg(F.sum("w").alias("n")).where(F.col("n") >= self.min_samples).select(F.col("a").alias("id"))
@@ -133,10 +154,62 @@ class DBSCAN(Clusterer):
         cores = first.join(number, "root").select("id", F.col("cluster").cast("long").alias("cluster"))
         border = pairs.join(cores, F.col("b") == F.col("id")).groupBy("a").agg(F.min("cluster").alias("_near"))
         labelled = points.join(border, F.col("id") == F.col("a"), "left").drop("a").join(cores.withColumnRenamed("id", "core_id"), F.col("id") == F.col("core_id"), "left")
-        labelled = labelled.select(*features, F.coalesce("cluster", "_near", F.lit(-1)).cast("long").alias("cluster"), F.col("core_id").isNotNull().alias("core"))
-        self.labels = rows.join(labelled, list(features)).select("id", "cluster", "core", *features)
-        self.features, self.row_id = list(features), row_id
-        return self
+        return labelled.select(*features, F.coalesce("cluster", "_near", F.lit(-1)).cast("long").alias("cluster"), F.col("core_id").isNotNull().alias("core"))
+
+    def _along_line(self, points: DataFrame, x: str) -> DataFrame:
+        """What _by_pairs gives for one feature, without pairs: in order of x, weights within eps are differences of running sums, a cluster is a run of core
+        points with gaps of at most eps, and a border point has at most a run on either side. Ranges of x are tasks, each with 3 eps of its neighbours' points."""
+        spark, eps, least = points.sparkSession, self.eps, self.min_samples
+        n = points.count()
+        cuts: list[float] = []
+        for c in points.stat.approxQuantile(x, np.linspace(0, 1, max(2, n // LINE_ROWS + 1))[1:-1].tolist(), 1e-3) if n > 2 * LINE_ROWS else []:
+            if not cuts or c - cuts[-1] > 8 * eps:  # so a point goes to three tasks at most
+                cuts.append(c)
+        edges = np.array(cuts)
+
+        def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                v, i, w = (b.column(k).to_numpy() for k in range(3))
+                own = np.searchsorted(edges, v, "right")
+                for part, mine in ((own, np.ones(len(v), bool)), (own - 1, (own > 0) & (np.searchsorted(edges, v - 3.5 * eps, "right") < own)), (own + 1, np.searchsorted(edges, v + 3.5 * eps, "right") > own)):
+                    yield pa.RecordBatch.from_arrays([pa.array(part[mine]), pa.array((part == own)[mine]), pa.array(v[mine]), pa.array(i[mine]), pa.array(w[mine])], names=["part", "own", "x", "id", "w"])
+
+        def sweep(t: pa.Table) -> pa.Table:
+            by = np.argsort(t["x"].to_numpy())
+            own, v, i, w = (t[c].to_numpy()[by] for c in ("own", "x", "id", "w"))
+            n, at = len(v), np.arange(len(v))
+            low, high = np.searchsorted(v, v - eps, "left"), np.searchsorted(v, v + eps, "right")
+            while (far := v - v[low] > eps).any():  # sums are rounded, differences decide
+                low = low + far
+            while (near := (low > 0) & (v - v[low - 1] <= eps)).any():
+                low = low - near
+            while (far := v[high - 1] - v > eps).any():
+                high = high - far
+            while (near := (high < n) & (v[np.minimum(high, n - 1)] - v <= eps)).any():
+                high = high + near
+            total = np.concatenate([[0], np.cumsum(w)])
+            core = total[high] - total[low] >= least
+            before = np.concatenate([[-1], np.maximum.accumulate(np.where(core, at, -1))[:-1]])  # the last core point before each
+            after = np.concatenate([np.minimum.accumulate(np.where(core, at, n)[::-1])[::-1][1:], [n]])
+            starts = core & (before < low)
+            runs = np.cumsum(starts & own)  # runs that start in this range, up to each
+            left = np.where(core | (before >= low), runs - 1, NO_RUN)
+            right = np.where(~core & (after < high), runs - 1 + starts[np.minimum(after, n - 1)], NO_RUN)
+            return pa.table({"part": t["part"].to_numpy()[by][own], "x": v[own], "id": i[own], "core": core[own], "starts": starts[own], "left": left[own], "right": right[own]})
+
+        dealt = points.select(F.col(x).alias("x"), "id", "w").mapInArrow(deal, "part long, own boolean, x double, id long, w long")
+        swept = checkpointed(dealt.groupBy("part").applyInArrow(sweep, "part long, x double, id long, core boolean, starts boolean, left long, right long"))
+        sums, sofar = [], 0
+        for part, k in sorted((r["part"], r["k"]) for r in swept.groupBy("part").agg(F.sum(F.col("starts").cast("int")).alias("k")).collect()):  # a row for each range
+            sums.append((part, sofar))
+            sofar += k
+        swept = swept.join(F.broadcast(spark.createDataFrame(sums, "part long, sofar long")), "part")
+        swept = swept.select("x", "id", "core", *[F.when(F.col(c) != NO_RUN, F.col(c) + F.col("sofar")).alias(c) for c in ("left", "right")])
+        first = swept.where("core").groupBy("left").agg(F.min("id").alias("root"))
+        number = checkpointed(numbered(first, "root", "cluster").select(F.col("left").alias("run"), "cluster"))
+        left, right = (number.select(F.col("run").alias(c), F.col("cluster").alias(f"{c}_cluster")) for c in ("left", "right"))
+        found = swept.join(left, "left", "left").join(right, "right", "left")
+        return found.select(F.col("x").alias(x), F.coalesce(F.least("left_cluster", "right_cluster"), F.lit(-1)).cast("long").alias("cluster"), "core")
 
     def fit_predict(self, df: DataFrame, features: Sequence[str], out: str = "cluster", row_id: str = "row_id") -> DataFrame:
         self.fit(df, features, row_id)

@@ -464,3 +464,20 @@ def test_kernel_pca_holds_small_blocks_of_the_kernel(spark, monkeypatch):
     centred = k - k.mean(0)[None] - k.mean(1)[:, None] + k.mean()
     assert np.abs(np.linalg.norm(z, axis=0) ** 2 - m.eigenvalues).max() < 1e-6 * m.eigenvalues[0]
     assert np.abs(centred @ z - z * m.eigenvalues).max() < 1e-6 * m.eigenvalues[0]
+
+
+def test_dbscan_of_dense_rows_on_a_line_joins_no_pairs(spark, monkeypatch):
+    """The labels are those of the pairs, with cores, borders between clusters, noise, and ranges of several tasks."""
+    from quillmill.operators import clustering
+
+    rng = np.random.default_rng(11)
+    x = np.round(np.concatenate([rng.normal(0, 1, 150), rng.uniform(5, 40, 150), [100.0, 100.5, 101.0]]), 1)
+    df = spark.createDataFrame([(int(i), float(v)) for i, v in zip(rng.permutation(len(x)), x)], "row_id long, x double")
+    for least in (1, 3, 9):
+        want = {r["id"]: (r["cluster"], r["core"]) for r in clustering.DBSCAN(0.5, least).fit(df, ["x"]).labels.collect()}
+        with monkeypatch.context() as m:
+            m.setattr(clustering, "MOST_PAIRS", 0, raising=False)
+            m.setattr(clustering, "LINE_ROWS", 20, raising=False)
+            m.setattr(clustering, "radius_join", lambda *a: pytest.fail("pairs are joined"))
+            got = {r["id"]: (r["cluster"], r["core"]) for r in clustering.DBSCAN(0.5, least).fit(df, ["x"]).labels.collect()}
+        assert got == want and len(got) == len(x)
